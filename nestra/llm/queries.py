@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestra.llm import media_ts, packing, token_counts, url_filter
-from nestra.llm.common import table
+from nestra.llm import language_id, media_ts, packing, token_counts, url_filter, warc
+from nestra.llm.common import scratch, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.select("doc_id", "lang", "text"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(language_id.is_held_out(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +22,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.listed_urls(pages)).drop("listed")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    captures = warc.read_captures(spark, folder, with_payload=False)
+    return captures.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), "response.refers_to")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -35,6 +50,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+_SQL_WARC = """
+WITH sized AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digested AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM sized
+), judged AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response_id FROM digested
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND response_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND response_id <> page_id THEN response_id END AS refers_to
+FROM judged
+"""
+
 _SQL_URL = r"""
 WITH parsed AS (
   SELECT page_id,
@@ -68,8 +97,8 @@ FROM judged j LEFT JOIN listed l ON j.canonical = l.canonical
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_filter, op5_token_counts, op9_media_columns, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_url_filter, op4_warc, op5_token_counts, op9_media_columns, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _SQL_URL}
+    return {"op3_url_filter": _SQL_URL, "op4_warc": _SQL_WARC}
