@@ -118,10 +118,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_codes(fold: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit code for each byte after folding; white space counts nothing."""
+#: White space and ASCII punctuation.
+MARKS = SPACE.copy()
+MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def byte_codes(fold: np.ndarray, seed: int, between: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each byte after folding; what stands between words counts nothing."""
     codes = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))[fold]
-    codes[SPACE] = 0
+    codes[between] = 0
     return codes
 
 
@@ -131,14 +136,15 @@ _CODES: dict = {}
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a chunk of texts, found and hashed at once.
 
-    starts, ends: byte positions; first: index of each text's first word, with
+    marks: punctuation also stands between words. starts, ends: byte positions; first: index of each text's first word, with
     the number of all words at the end; hashes: 64 bits of each word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 1):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: bool = False, seed: int = 1):
         n = len(data)
         self.data, self.offsets = data, offsets
-        space = SPACE[data]
+        between = MARKS if marks else SPACE
+        space = between[data]
         begins = np.zeros(n + 1, bool)
         begins[offsets[:-1]] = True
         begins[n] = True
@@ -150,9 +156,9 @@ class Words:
         self.ends = np.flatnonzero(~space & (after | begins[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
         if len(self.starts):
-            key = (lower, seed)
+            key = (lower, marks, seed)
             if key not in _CODES:
-                _CODES[key] = byte_codes(LOWER if lower else IDENTITY, seed)
+                _CODES[key] = byte_codes(LOWER if lower else IDENTITY, seed, between)
             values = _CODES[key][data]
             values *= powers(_BASE, n)
             sums = np.add.reduceat(values, self.starts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestra.llm import language_id, media_ts, packing, token_counts, url_filter, warc
+from nestra.llm import decontamination, language_id, media_ts, packing, pii, token_counts, url_filter, warc
 from nestra.llm.common import scratch, table
 
 
@@ -33,6 +33,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit(docs)).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = media_ts.read_media(media_ts.media_table(table(spark, sf_dir, "documents")), with_payload=False)
     feature = F.concat_ws(
@@ -97,7 +108,7 @@ FROM judged j LEFT JOIN listed l ON j.canonical = l.canonical
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_url_filter, op4_warc, op5_token_counts, op9_media_columns, op10_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_url_filter, op4_warc, op5_token_counts, op6_decontamination, op8_pii, op9_media_columns, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
