@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestra.llm import decontamination, language_id, media_ts, packing, pii, token_counts, url_filter, warc
+from nestra.llm import decontamination, language_id, media_ts, ngram_join, packing, pii, substring_dedup, token_counts, url_filter, warc
 from nestra.llm.common import scratch, table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, sf_dir, "documents")).drop("n_links")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.select("doc_id", "lang", "text"))
@@ -37,6 +41,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, pii.fit(docs)).withColumn("base", F.filter("spans", lambda s: s["base"]))
@@ -61,6 +69,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+_SQL_JOIN = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i : i + 3], ' ') for i in generate_series(1, len(w) - 3)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split
+), hashed AS (
+  SELECT doc_id, hash(s) AS s FROM shingles
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM hashed GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM hashed a JOIN hashed b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM split
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT split.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = split.doc_id) AS component_id
+FROM split LEFT JOIN sizes USING (doc_id)
+"""
+
 _SQL_WARC = """
 WITH sized AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -107,9 +138,31 @@ FROM judged j LEFT JOIN listed l ON j.canonical = l.canonical
 """
 
 
+_SQL_REPEATS = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS p FROM split WHERE len(w) >= 35
+), windows AS (
+  SELECT r, p, md5(array_to_string(w[p : p + 34], ' ')) AS h FROM starts
+), repeated AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), covered AS (
+  SELECT DISTINCT r, unnest(generate_series(p, p + 34)) AS p FROM windows JOIN repeated USING (h)
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM split
+), kept AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY words.p) FILTER (covered.p IS NULL) AS t, count(covered.p) AS n_removed
+  FROM words LEFT JOIN covered ON words.r = covered.r AND words.p = covered.p GROUP BY words.r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_url_filter, op4_warc, op5_token_counts, op6_decontamination, op8_pii, op9_media_columns, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_url_filter, op4_warc, op5_token_counts, op6_decontamination, op7_substring_dedup, op8_pii, op9_media_columns, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _SQL_URL, "op4_warc": _SQL_WARC}
+    return {"op1_ngram_join": _SQL_JOIN, "op3_url_filter": _SQL_URL, "op4_warc": _SQL_WARC, "op7_substring_dedup": _SQL_REPEATS}
