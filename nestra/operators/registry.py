@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from nestra.operators import nested, tables
+
+MODULES: tuple = (nested, tables)
 
 
 def queries() -> dict:
