@@ -10,12 +10,13 @@ index the one-deletion neighbourhoods of their segments, and, where even those
 give no guarantee, a common mark. How many segments a scheme has is chosen by
 cost: rows for sets that fall short against chance matches of small segments.
 
-Sets that share a signature are joined to one of them, the centre, never all
-with all, and each pair is verified on the whole sets. Components are formed
-from the links, and signatures whose sets are in one component are done. Others
-get further centres. At last, by the pigeonhole with its spare segments, a pair
-can only be missing if it shares more open signatures than are to spare: such
-pairs are counted, verified, and nothing is left.
+Of the sets that share signatures each is paired with one, a centre, and the
+pair is verified on the whole sets. Components are formed from the links, and
+signatures whose sets are in one component are done. Others get further centres.
+At last, a linked pair that is still missing shares so many open signatures as
+its segments less its possible differences: signatures with the same sets are
+counted as one with a weight, pairs with enough of them and fitting sizes are
+verified, and nothing is left.
 
 Cases: a document without words has an empty set and no links. One with fewer
 words than n has one n-gram, all of its words. Equal sets are one node from the
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from nestra.llm.common import Words, mix, saved, signed, text_bytes, text_chunks
 
 N, PERCENT = 4, 85
-#: Identical segments beyond the first that a set's signatures allow for.
-SPARE = 2
+#: Identical segments beyond the first that a set's signatures allow for, and one more for each so many differences.
+SPARE, SPARE_EACH = 2, 10
 #: Rounds of centres before the exact rest.
-ROUNDS = 3
+ROUNDS = 4
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -85,7 +86,7 @@ class Schemes:
 
     def _build(self, number: int) -> Scheme:
         low, high = self.edges[number], self.edges[number + 1] - 1
-        need = self.differences(high + self.most(high)) + 1 + self.spare
+        need = self.need(self.differences(high + self.most(high)))
 
         def cost(segments: int) -> float:
             filled = low / segments
@@ -96,6 +97,10 @@ class Schemes:
         choices = range(need, 2 * need + 8)
         return Scheme(number, low, high, min(choices, key=cost))
 
+    def need(self, allow: int) -> int:
+        """Segments to index for a number of differences."""
+        return allow + 1 + self.spare + (allow // SPARE_EACH if self.spare else 0)
+
     def uses(self, size: int) -> list[tuple[int, int]]:
         """(scheme, differences to allow for) of a set: its own, and those of smaller partners."""
         own = self.band(size)
@@ -127,11 +132,15 @@ def set_hash(values: np.ndarray) -> int:
     return int(mix(np.array([mix(values).sum(dtype=np.uint64) + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
 
 
-def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, slack) of non-empty sets; slack: identical segments that a pair has beyond one, at least."""
+def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, ...]:
+    """(set, signature, slack, indexed) of non-empty sets.
+
+    indexed: the segments that the set has indexed in the scheme; slack: how many
+    more they are than its differences and one.
+    """
     entries = [(i, c, allow) for i, s in enumerate(sets) if len(s) for c, allow in schemes.uses(len(s))]
     if not entries:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner, number, allow = (np.array(x, np.int64) for x in zip(*entries, strict=True))
     segments = np.array([schemes.of(c).segments for c in number], np.int64)
     sizes = np.array([len(sets[i]) for i in owner], np.int64)
@@ -153,14 +162,15 @@ def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, np
     rank = np.cumsum(filled)
     before = np.r_[0, rank][base[:-1]]
     rank = rank - before[of_slot]
-    need = allow + 1 + schemes.spare
+    need = np.array([schemes.need(int(a)) for a in allow], np.int64)
     chosen = np.flatnonzero(filled & (rank <= need[of_slot]))
     own = of_slot[chosen]
     place = lambda at: mix(local[at].astype(np.uint64) + seeds[of_slot[at]])
     sig = mix(subset[chosen] ^ place(chosen))
     n_filled = np.bincount(of_slot[filled], minlength=len(owner))
-    slack = np.maximum(0, np.minimum(n_filled, need) - allow - 1)
-    all_owner, all_sig, all_slack = [owner[own]], [sig], [slack[own]]
+    indexed = np.minimum(n_filled, need)
+    slack = np.maximum(0, indexed - allow - 1)
+    all_owner, all_sig, all_slack, all_indexed = [owner[own]], [sig], [slack[own]], [indexed[own]]
     short = n_filled < allow + 1
     if short.any():
         mark = np.uint64(0x5851F42D4C957F2D)
@@ -169,11 +179,13 @@ def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, np
             all_owner.append(owner[of_slot[at]])
             all_sig.append(mix((left ^ place(at)) + mark))
             all_slack.append(np.zeros(len(at), np.int64))
+            all_indexed.append(np.zeros(len(at), np.int64))
         lost = np.flatnonzero(short & (allow >= 2 * n_filled))
         all_owner.append(owner[lost])
         all_sig.append(mix(seeds[lost] ^ mark))
         all_slack.append(np.zeros(len(lost), np.int64))
-    return np.concatenate(all_owner), np.concatenate(all_sig), np.concatenate(all_slack)
+        all_indexed.append(np.zeros(len(lost), np.int64))
+    return tuple(np.concatenate(x) for x in (all_owner, all_sig, all_slack, all_indexed))
 
 
 def nodes_of(docs: DataFrame, n: int = N) -> DataFrame:
@@ -190,16 +202,16 @@ def nodes_of(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, schemes: Schemes, n: int = N) -> DataFrame:
-    """(sig, node, slack) of all documents; those of equal sets are equal."""
+    """(sig, node, slack, indexed) of all documents; those of equal sets are equal."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             sets = shingle_sets(*text_bytes(batch.column(0)), n)
-            owner, sig, slack = signatures(sets, schemes)
+            owner, sig, slack, indexed = signatures(sets, schemes)
             node = np.array([set_hash(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(node[owner]), pa.array(slack.astype(np.int32))], ["sig", "node", "slack"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(node[owner]), pa.array(slack.astype(np.int16)), pa.array(indexed.astype(np.int32))], ["sig", "node", "slack", "indexed"])
 
-    return docs.select("text").mapInArrow(cut, "sig long, node long, slack int")
+    return docs.select("text").mapInArrow(cut, "sig long, node long, slack short, indexed int")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
@@ -254,19 +266,39 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, slack, component) of the signatures whose nodes are not all in one component."""
-    known = candidates.join(labels, "node", "left").select("sig", "node", "slack", F.coalesce("component", "node").alias("component"))
+    """(sig, node, slack, indexed, component) of the signatures whose nodes are not all in one component."""
+    known = candidates.join(labels, "node", "left").select("sig", "node", "slack", "indexed", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     return saved(known.join(mixed, "sig"), "open")
 
 
+def _rest(left: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) that may be linked and are not in one component, from the open signatures."""
+    for _ in range(3):  # a set with no more open signatures than are to spare needs none of them
+        many = left.groupBy("node").agg(F.count_distinct("sig").alias("n"), F.min("slack").alias("least")).where("n > least").select("node")
+        left = _open(left.join(many, "node", "left_semi").drop("component"), labels)
+    rows = left.groupBy("sig", "node", "component").agg(F.min("indexed").alias("indexed"))
+    # Signatures with the same nodes meet as one that counts for all of them.
+    alike = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight")
+    least = rows.groupBy("node").agg(F.min("indexed").alias("indexed"))
+    rows = rows.drop("indexed").join(kept, "sig").join(least, "node").join(sizes, "node")
+    x, y = rows.alias("x"), rows.alias("y")
+    fits = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    fits &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    met = x.join(y, fits).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    differences = F.floor((F.col("size")) * (100 - percent) / (100 + percent))
+    counted = met.agg(F.sum("x.weight").alias("n"), F.first(F.least("x.indexed", "y.indexed")).alias("indexed"), F.first(F.col("x.size") + F.col("y.size")).alias("size"))
+    return counted.where(F.col("n") >= F.col("indexed") - differences).select("a", "b")
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """((node, component), links (a, b)): all components of linked nodes, and the verified links that form them."""
     schemes = Schemes(percent, spare)
     rows = signature_rows(docs, schemes, n)
     shared = rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("top")).where("centre < top").select("sig", "centre")
-    candidates = saved(rows.join(shared, "sig").groupBy("sig", "node", "centre").agg(F.min("slack").alias("slack")), "candidates")
-    pairs = candidates.where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    candidates = saved(rows.join(shared, "sig").groupBy("sig", "node", "centre").agg(F.min("slack").alias("slack"), F.min("indexed").alias("indexed")), "candidates")
+    pairs = candidates.groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b")).where("a <> b")
     named = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("node", "x.*")
     wanted = named.join(candidates.select("node").distinct(), "node", "left_semi")
     sets = saved(whole_sets(docs, wanted, n), "sets")
@@ -278,15 +310,11 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = P
             return labels, links
         if number + 1 < rounds:
             centre = left.groupBy("sig").agg(F.max(F.struct(F.xxhash64("node", F.lit(number)), "node", "component")).alias("x")).select("sig", F.col("x.node").alias("centre"), F.col("x.component").alias("its"))
-            pairs = left.join(centre, "sig").where(F.col("component") != F.col("its")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+            away = left.join(centre, "sig").where(F.col("component") != F.col("its"))
+            pairs = away.groupBy(F.col("node").alias("a")).agg(F.min(F.struct(F.xxhash64("centre", F.lit(number)), "centre")).alias("x")).select("a", F.col("x.centre").alias("b"))
         else:
-            for _ in range(3):  # a set with no more open signatures than are to spare needs none of them
-                many = left.groupBy("node").agg(F.count_distinct("sig").alias("n")).join(left.groupBy("node").agg(F.min("slack").alias("least")), "node").where(F.col("n") > F.col("least")).select("node")
-                left = _open(left.join(many, "node", "left_semi").select("sig", "node", "slack"), labels)
-            x, y = left.alias("x"), left.alias("y")
-            met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-            counted = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count_distinct("x.sig").alias("n"), F.min(F.least("x.slack", "y.slack")).alias("slack"))
-            pairs = counted.where(F.col("n") > F.col("slack")).select("a", "b")
+            sizes = sets.select("node", (F.length("grams") / 8).cast("long").alias("size"))
+            pairs = _rest(left, labels, sizes, percent)
         more = saved(verified(pairs, sets, percent), "verified")
         if not more.isEmpty():
             links = links.unionByName(more)
