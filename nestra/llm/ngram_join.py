@@ -13,10 +13,14 @@ cost: rows for sets that fall short against chance matches of small segments.
 Of the sets that share signatures each is paired with one, a centre, and the
 pair is verified on the whole sets. Components are formed from the links, and
 signatures whose sets are in one component are done. Others get further centres.
-At last, a linked pair that is still missing shares so many open signatures as
-its segments less its possible differences: signatures with the same sets are
-counted as one with a weight, pairs with enough of them and fitting sizes are
-verified, and nothing is left.
+At last, a linked pair that is still missing shares more open signatures than
+either set has to spare. So each set leaves out as many as it has to spare, the
+commonest ones by an order that all sets share; the pair still meets in the
+rarest that it has in common. Signatures with the same sets meet as one. Where
+many sets still meet, as in a family of texts with some edits each, their whole
+sets are parted again into several times as many segments, by the same rules: a
+set with more edits than a link allows then keeps only signatures of its own.
+Pairs of fitting sizes are verified, and nothing is left.
 
 Cases: a document without words has an empty set and no links. One with fewer
 words than n has one n-gram, all of its words. Equal sets are one node from the
@@ -34,14 +38,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from nestra.llm.common import Words, mix, saved, signed, text_bytes, text_chunks
+from nestra.llm.common import CHUNK_BYTES, Words, mix, saved, signed, text_bytes, text_chunks
 
 N, PERCENT = 4, 85
-#: Identical segments beyond the first that a set's signatures allow for, and one more for each so many differences.
-SPARE, SPARE_EACH = 2, 10
+#: Identical segments beyond the first that a set's signatures allow for, and so many more for each ten differences.
+SPARE, EACH_TEN = 2, 1
 #: Rounds of centres before the exact rest.
-ROUNDS = 4
+ROUNDS = 2
+#: The same share of the differences in a finer partition, and the largest group of sets that meets without it.
+FINE, DIRECT = 25, 16
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -58,8 +65,8 @@ class Scheme:
 class Schemes:
     """Size bands for a similarity in percent, and how many signatures a set needs in each."""
 
-    def __init__(self, percent: int = PERCENT, spare: int = SPARE):
-        self.percent, self.spare = percent, spare
+    def __init__(self, percent: int = PERCENT, spare: int = SPARE, each_ten: int = EACH_TEN):
+        self.percent, self.spare, self.each_ten = percent, spare, each_ten
         self.edges = [1]
         self._schemes: dict[int, Scheme] = {}
 
@@ -99,7 +106,12 @@ class Schemes:
 
     def need(self, allow: int) -> int:
         """Segments to index for a number of differences."""
-        return allow + 1 + self.spare + (allow // SPARE_EACH if self.spare else 0)
+        return allow + 1 + self.spare + (allow * self.each_ten // 10 if self.spare else 0)
+
+    def to_spare(self, number: int) -> int:
+        """Segments beyond the first identical one that every set with enough of them indexes in a scheme."""
+        least = self.differences(2 * self.of(number).low)
+        return self.need(least) - least - 1
 
     def uses(self, size: int) -> list[tuple[int, int]]:
         """(scheme, differences to allow for) of a set: its own, and those of smaller partners."""
@@ -133,10 +145,11 @@ def set_hash(values: np.ndarray) -> int:
 
 
 def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, ...]:
-    """(set, signature, slack, indexed) of non-empty sets.
+    """(set, signature, slack, scheme) of non-empty sets.
 
-    indexed: the segments that the set has indexed in the scheme; slack: how many
-    more they are than its differences and one.
+    slack: how many fewer than the signatures that the set shares with any partner
+    in the scheme are sure. The partner may index fewer segments, those of the
+    scheme's smallest sets at least.
     """
     entries = [(i, c, allow) for i, s in enumerate(sets) if len(s) for c, allow in schemes.uses(len(s))]
     if not entries:
@@ -169,8 +182,8 @@ def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, ..
     sig = mix(subset[chosen] ^ place(chosen))
     n_filled = np.bincount(of_slot[filled], minlength=len(owner))
     indexed = np.minimum(n_filled, need)
-    slack = np.maximum(0, indexed - allow - 1)
-    all_owner, all_sig, all_slack, all_indexed = [owner[own]], [sig], [slack[own]], [indexed[own]]
+    slack = np.clip(indexed - allow - 1, 0, np.array([schemes.to_spare(int(c)) for c in number], np.int64))
+    all_owner, all_sig, all_slack, all_number = [owner[own]], [sig], [slack[own]], [number[own]]
     short = n_filled < allow + 1
     if short.any():
         mark = np.uint64(0x5851F42D4C957F2D)
@@ -179,13 +192,13 @@ def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, ..
             all_owner.append(owner[of_slot[at]])
             all_sig.append(mix((left ^ place(at)) + mark))
             all_slack.append(np.zeros(len(at), np.int64))
-            all_indexed.append(np.zeros(len(at), np.int64))
+            all_number.append(number[of_slot[at]])
         lost = np.flatnonzero(short & (allow >= 2 * n_filled))
         all_owner.append(owner[lost])
         all_sig.append(mix(seeds[lost] ^ mark))
         all_slack.append(np.zeros(len(lost), np.int64))
-        all_indexed.append(np.zeros(len(lost), np.int64))
-    return tuple(np.concatenate(x) for x in (all_owner, all_sig, all_slack, all_indexed))
+        all_number.append(number[lost])
+    return tuple(np.concatenate(x) for x in (all_owner, all_sig, all_slack, all_number))
 
 
 def nodes_of(docs: DataFrame, n: int = N) -> DataFrame:
@@ -202,16 +215,16 @@ def nodes_of(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, schemes: Schemes, n: int = N) -> DataFrame:
-    """(sig, node, slack, indexed) of all documents; those of equal sets are equal."""
+    """(sig, node, slack, scheme) of all documents; those of equal sets are equal."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             sets = shingle_sets(*text_bytes(batch.column(0)), n)
-            owner, sig, slack, indexed = signatures(sets, schemes)
+            owner, sig, slack, scheme = signatures(sets, schemes)
             node = np.array([set_hash(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(node[owner]), pa.array(slack.astype(np.int16)), pa.array(indexed.astype(np.int32))], ["sig", "node", "slack", "indexed"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(node[owner]), pa.array(slack.astype(np.int32)), pa.array(scheme.astype(np.int32))], ["sig", "node", "slack", "scheme"])
 
-    return docs.select("text").mapInArrow(cut, "sig long, node long, slack short, indexed int")
+    return docs.select("text").mapInArrow(cut, "sig long, node long, slack int, scheme int")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
@@ -266,30 +279,65 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, slack, indexed, component) of the signatures whose nodes are not all in one component."""
-    known = candidates.join(labels, "node", "left").select("sig", "node", "slack", "indexed", F.coalesce("component", "node").alias("component"))
+    """(sig, node, slack, scheme, component) of the signatures whose nodes are not all in one component."""
+    known = candidates.join(labels, "node", "left").select("sig", "node", "slack", "scheme", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     return saved(known.join(mixed, "sig"), "open")
 
 
-def _rest(left: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) that may be linked and are not in one component, from the open signatures."""
-    for _ in range(3):  # a set with no more open signatures than are to spare needs none of them
-        many = left.groupBy("node").agg(F.count_distinct("sig").alias("n"), F.min("slack").alias("least")).where("n > least").select("node")
-        left = _open(left.join(many, "node", "left_semi").drop("component"), labels)
-    rows = left.groupBy("sig", "node", "component").agg(F.min("indexed").alias("indexed"))
+def _centred(rows: DataFrame) -> DataFrame:
+    """(a, b): each node with the centre that most of its signatures have, of (node, centre)."""
+    return rows.where("node <> centre").groupBy(F.col("node").alias("a")).agg(F.mode("centre", True).alias("b"))
+
+
+def _rare(rows: DataFrame) -> DataFrame:
+    """(sig, node) of (sig, node, slack, scheme): without each node's commonest signatures in each scheme, as many as it has to spare there."""
     # Signatures with the same nodes meet as one that counts for all of them.
-    alike = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    kept = alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight")
-    least = rows.groupBy("node").agg(F.min("indexed").alias("indexed"))
-    rows = rows.drop("indexed").join(kept, "sig").join(least, "node").join(sizes, "node")
+    alike = rows.groupBy("sig", "scheme").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = alike.where("n > 1").groupBy("n", "x", "y", "scheme").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "scheme", "weight", "n")
+    own = Window.partitionBy("node", "scheme")
+    common = own.orderBy(F.desc("n"), F.desc("sig")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.join(kept, ["sig", "scheme"]).withColumn("least", F.min("slack").over(own)).withColumn("passed", F.sum("weight").over(common))
+    return met.where("passed > least").select("sig", "node")
+
+
+def _fine(sets: DataFrame, schemes: Schemes) -> DataFrame:
+    """(sig, node, slack, scheme) of (node, grams)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)]
+            part = np.cumsum([8 * len(x) for x in whole]) // CHUNK_BYTES
+            for k in np.unique(part):
+                at = np.flatnonzero(part == k)
+                owner, sig, slack, scheme = signatures([whole[i] for i in at], schemes)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), batch.column(0).take(pa.array(at[owner])), pa.array(slack.astype(np.int32)), pa.array(scheme.astype(np.int32))], ["sig", "node", "slack", "scheme"])
+
+    return sets.select("node", "grams").mapInArrow(cut, "sig long, node long, slack int, scheme int").groupBy("sig", "node", "scheme").agg(F.min("slack").alias("slack"))
+
+
+def _rest(left: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) that may be linked and are not in one component, from the open signatures."""
+    rows = saved(_rare(left.select("sig", "node", "slack", "scheme")), "rare")
+    many = rows.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("sig")
+    crowd = rows.join(many, "sig").select("node").distinct()
+    fine = saved(_fine(sets.join(crowd, "node", "left_semi"), Schemes(percent, SPARE, FINE)), "fine")
+    rows = rows.join(many, "sig", "left_anti").unionByName(_rare(fine))
+    sizes = sets.select("node", (F.length("grams") / 8).cast("long").alias("size"))
+    rows = rows.join(sizes, "node").join(labels, "node", "left").select("sig", "node", "size", F.coalesce("component", "node").alias("component"))
+    rows = saved(rows, "rest")
     x, y = rows.alias("x"), rows.alias("y")
     fits = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     fits &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
-    met = x.join(y, fits).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    differences = F.floor((F.col("size")) * (100 - percent) / (100 + percent))
-    counted = met.agg(F.sum("x.weight").alias("n"), F.first(F.least("x.indexed", "y.indexed")).alias("indexed"), F.first(F.col("x.size") + F.col("y.size")).alias("size"))
-    return counted.where(F.col("n") >= F.col("indexed") - differences).select("a", "b")
+    return x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _centres(left: DataFrame) -> DataFrame:
+    """(a, b): nodes of the open signatures, each with a node of another component that shares more with others than most."""
+    crowd = left.groupBy("sig").agg(F.count("*").alias("n"))
+    weight = left.join(crowd, "sig").groupBy("node").agg(F.sum(F.log2("n")).alias("weight"))
+    centre = left.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node", "component")).alias("x")).select("sig", F.col("x.node").alias("centre"), F.col("x.component").alias("its"))
+    return _centred(left.join(centre, "sig").where(F.col("component") != F.col("its")))
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -297,8 +345,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = P
     schemes = Schemes(percent, spare)
     rows = signature_rows(docs, schemes, n)
     shared = rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("top")).where("centre < top").select("sig", "centre")
-    candidates = saved(rows.join(shared, "sig").groupBy("sig", "node", "centre").agg(F.min("slack").alias("slack"), F.min("indexed").alias("indexed")), "candidates")
-    pairs = candidates.groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b")).where("a <> b")
+    candidates = saved(rows.join(shared, "sig").groupBy("sig", "node", "centre", "scheme").agg(F.min("slack").alias("slack")), "candidates")
+    pairs = _centred(candidates)
     named = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("node", "x.*")
     wanted = named.join(candidates.select("node").distinct(), "node", "left_semi")
     sets = saved(whole_sets(docs, wanted, n), "sets")
@@ -309,12 +357,9 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = P
         if left.isEmpty():
             return labels, links
         if number + 1 < rounds:
-            centre = left.groupBy("sig").agg(F.max(F.struct(F.xxhash64("node", F.lit(number)), "node", "component")).alias("x")).select("sig", F.col("x.node").alias("centre"), F.col("x.component").alias("its"))
-            away = left.join(centre, "sig").where(F.col("component") != F.col("its"))
-            pairs = away.groupBy(F.col("node").alias("a")).agg(F.min(F.struct(F.xxhash64("centre", F.lit(number)), "centre")).alias("x")).select("a", F.col("x.centre").alias("b"))
+            pairs = _centres(left)
         else:
-            sizes = sets.select("node", (F.length("grams") / 8).cast("long").alias("size"))
-            pairs = _rest(left, labels, sizes, percent)
+            pairs = _rest(left, labels, sets, percent)
         more = saved(verified(pairs, sets, percent), "verified")
         if not more.isEmpty():
             links = links.unionByName(more)
