@@ -17,10 +17,11 @@ At last, a linked pair that is still missing shares more open signatures than
 either set has to spare. So each set leaves out as many as it has to spare, the
 commonest ones by an order that all sets share; the pair still meets in the
 rarest that it has in common. Signatures with the same sets meet as one. Where
-many sets still meet, as in a family of texts with some edits each, their whole
-sets are parted again into several times as many segments, by the same rules: a
-set with more edits than a link allows then keeps only signatures of its own.
-Pairs of fitting sizes are verified, and nothing is left.
+many sets still meet, as in a family of texts with some edits each, they are held
+against one of them: a linked pair has many of its differences from that centre
+in common, so it meets in one of the rarest of them, and sets with edits of
+their own do not meet at all (`_around`). Pairs of fitting sizes are verified,
+and nothing is left.
 
 Cases: a document without words has an empty set and no links. One with fewer
 words than n has one n-gram, all of its words. Equal sets are one node from the
@@ -40,15 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nestra.llm.common import CHUNK_BYTES, Words, mix, saved, signed, text_bytes, text_chunks
+from nestra.llm.common import Words, mix, saved, signed, text_bytes, text_chunks
 
 N, PERCENT = 4, 85
 #: Identical segments beyond the first that a set's signatures allow for, and so many more for each ten differences.
 SPARE, EACH_TEN = 2, 1
 #: Rounds of centres before the exact rest.
 ROUNDS = 2
-#: The same share of the differences in a finer partition, and the largest group of sets that meets without it.
-FINE, DIRECT = 25, 16
+#: The largest group of sets of a signature whose pairs meet directly; larger ones meet around a centre.
+DIRECT = 16
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -301,35 +302,75 @@ def _rare(rows: DataFrame) -> DataFrame:
     return met.where("passed > least").select("sig", "node")
 
 
-def _fine(sets: DataFrame, schemes: Schemes) -> DataFrame:
-    """(sig, node, slack, scheme) of (node, grams)."""
+def _deltas(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, centre, size, its, apart, delta) of (node, centre): sizes of both sets, and the elements that only one of them has."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)]
-            part = np.cumsum([8 * len(x) for x in whole]) // CHUNK_BYTES
-            for k in np.unique(part):
-                at = np.flatnonzero(part == k)
-                owner, sig, slack, scheme = signatures([whole[i] for i in at], schemes)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), batch.column(0).take(pa.array(at[owner])), pa.array(slack.astype(np.int32)), pa.array(scheme.astype(np.int32))], ["sig", "node", "slack", "scheme"])
-
-    return sets.select("node", "grams").mapInArrow(cut, "sig long, node long, slack int, scheme int").groupBy("sig", "node", "scheme").agg(F.min("slack").alias("slack"))
+            size, its, delta = [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                size.append(len(x))
+                its.append(len(y))
+                delta.append(signed(np.setxor1d(x, y, assume_unique=True)))
+            apart = [len(x) for x in delta]
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(apart)].astype(np.int32), np.concatenate(delta) if delta else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(its, pa.int64()), pa.array(apart, pa.int64()), lists], ["node", "centre", "size", "its", "apart", "delta"])
+
+    joined = met.join(sets.select("node", F.col("grams").alias("x")), "node").join(sets.select(F.col("node").alias("centre"), F.col("grams").alias("y")), "centre")
+    return joined.select("node", "centre", "x", "y").mapInArrow(cut, "node long, centre long, size long, its long, apart long, delta array<long>")
+
+
+def _around(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) of sets with their centres, pairs (a, b) that may be linked) of the crowded signatures in (sig, node).
+
+    Sets x and y that meet in a signature are held against its centre c. With
+    D(x) for the elements that only one of x and c has, and
+    excess(x) = (100 + percent) |D(x)| - (100 - percent) |x|, they are linked if and
+    only if 2 (100 + percent) |D(x) & D(y)| >= excess(x) + excess(y). If the right
+    side is not above 0, both are linked with c. Else D(x) and D(y) share so many
+    elements that, in one order of all, x has one of them among its first
+    |D(x)| - least + 1. Rare elements stand first; y's excess is known by bucket.
+    """
+    more, less = 100 + percent, 100 - percent
+    weight = crowd.groupBy("node").agg(F.count("*").alias("weight"))
+    centre = crowd.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("centre"))
+    met = saved(crowd.join(centre, "sig").select("node", "centre").where("node <> centre").distinct(), "met")
+    excess = more * F.col("apart") - less * F.col("size")
+    deltas = saved(_deltas(met, sets).withColumn("excess", excess).withColumn("wide", F.greatest(F.lit(1), F.floor(less * F.col("its") / 4))), "deltas")
+    near = deltas.where(F.col("excess") <= less * F.col("its")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    tokens = deltas.select("node", "centre", F.explode("delta").alias("token"))
+    shared = tokens.groupBy("centre", "token").agg(F.count("*").alias("n")).where("n > 1")
+    # Elements that no other set shares come first in the order and meet nothing, so only their number counts.
+    order = Window.partitionBy("node", "centre").orderBy("n", "token")
+    ranked = tokens.join(shared, ["centre", "token"]).withColumn("rank", F.row_number().over(order)).withColumn("alike", F.count("*").over(Window.partitionBy("node", "centre")))
+    about = deltas.drop("delta").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = ranked.select("node", "centre", "token", (F.col("alike") - F.col("rank")).alias("after")).join(about, ["node", "centre"])
+    bucket = lambda x: F.floor(x / F.col("wide")).cast("long")
+    # The place of the element bounds the other set's excess; and excesses of a linked pair are not far apart.
+    low = bucket(F.greatest(1 - F.col("excess"), F.col("excess") - F.floor(2 * less * F.col("size") * 100 / percent) - 1))
+    high = bucket(F.least(2 * more * (F.col("after") + 1) - F.col("excess"), F.col("excess") + 2 * less * F.col("size")))
+    rows = placed.select("node", "centre", "token", "size", "component", bucket(F.col("excess")).alias("own"), low.alias("low"), high.alias("high")).where("low <= high")
+    rows = saved(rows.withColumn("other", F.explode(F.sequence("low", "high"))).drop("low", "high"), "placed")
+    x, y = rows.where("own <= other").alias("x"), rows.where("own >= other").alias("y")
+    fits = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    fits &= ((F.col("x.own") < F.col("y.own")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.component") != F.col("y.component"))
+    fits &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    return near, x.join(y, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _rest(left: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) that may be linked and are not in one component, from the open signatures."""
+    """All pairs (a, b) that may be linked and are not in one component, from the open signatures; or links that join those."""
     rows = saved(_rare(left.select("sig", "node", "slack", "scheme")), "rare")
     many = rows.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("sig")
-    crowd = rows.join(many, "sig").select("node").distinct()
-    fine = saved(_fine(sets.join(crowd, "node", "left_semi"), Schemes(percent, SPARE, FINE)), "fine")
-    rows = rows.join(many, "sig", "left_anti").unionByName(_rare(fine))
+    near, far = _around(saved(rows.join(many, "sig"), "crowd"), labels, sets, percent)
     sizes = sets.select("node", (F.length("grams") / 8).cast("long").alias("size"))
-    rows = rows.join(sizes, "node").join(labels, "node", "left").select("sig", "node", "size", F.coalesce("component", "node").alias("component"))
+    rows = rows.join(many, "sig", "left_anti").join(sizes, "node").join(labels, "node", "left").select("sig", "node", "size", F.coalesce("component", "node").alias("component"))
     rows = saved(rows, "rest")
     x, y = rows.alias("x"), rows.alias("y")
     fits = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     fits &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
-    return x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(near).unionByName(far).distinct()
 
 
 def _centres(left: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_join_is_exact(spark, n, percent, spare, rounds, sizes):
     assert got == brute_components(docs, n, percent)
 
 
-@pytest.mark.parametrize("each_ten", [ngram_join.EACH_TEN, ngram_join.FINE])
+@pytest.mark.parametrize("each_ten", [ngram_join.EACH_TEN, 25])
 def test_every_linked_pair_shares_enough_signatures(each_ten):
     """Also of sets that fall short of segments, which few real texts are: in some scheme, more than either has to spare."""
     schemes = ngram_join.Schemes(each_ten=each_ten)
@@ -86,6 +86,27 @@ def test_every_linked_pair_shares_enough_signatures(each_ten):
         assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+@pytest.mark.parametrize(("direct", "edits"), [(2, 3), (2, 9), (16, 5)])
+def test_join_is_exact_in_families(spark, monkeypatch, direct, edits):
+    """Families of near copies with edits of their own, whose first text is not among them, so that few of many are linked."""
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
+    rng = np.random.default_rng(direct + edits)
+    texts = []
+    for family in range(4):
+        bases = [[f"w{x}" for x in rng.integers(0, 5000, int(rng.choice([30, 80, 150])))]]
+        bases.append([*bases[0][:-20], *[f"v{x}" for x in rng.integers(0, 5000, 20)]])  # a family within it
+        for _ in range(45):
+            words = list(bases[int(rng.integers(2))])
+            for _ in range(int(rng.integers(1, edits))):
+                words[int(rng.integers(len(words)))] = f"e{rng.integers(20 if family % 2 else 100000)}"
+            texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for percent in (85, 80):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_similar(df, 4, percent).collect()}
+        assert got == brute_components(docs, 4, percent)
+
+
 def test_join_of_repeated_and_empty_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (None, None), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
