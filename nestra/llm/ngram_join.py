@@ -330,7 +330,8 @@ def _around(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     only if 2 (100 + percent) |D(x) & D(y)| >= excess(x) + excess(y). If the right
     side is not above 0, both are linked with c. Else D(x) and D(y) share so many
     elements that, in one order of all, x has one of them among its first
-    |D(x)| - least + 1. Rare elements stand first; y's excess is known by bucket.
+    |D(x)| - least + 1. Elements of sets near c alone stand first, then rare ones;
+    y's excess is known by bucket.
     """
     more, less = 100 + percent, 100 - percent
     weight = crowd.groupBy("node").agg(F.count("*").alias("weight"))
@@ -339,9 +340,10 @@ def _around(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     excess = more * F.col("apart") - less * F.col("size")
     deltas = saved(_deltas(met, sets).withColumn("excess", excess).withColumn("wide", F.greatest(F.lit(1), F.floor(less * F.col("its") / 4))), "deltas")
     near = deltas.where(F.col("excess") <= less * F.col("its")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    tokens = deltas.select("node", "centre", F.explode("delta").alias("token"))
-    shared = tokens.groupBy("centre", "token").agg(F.count("*").alias("n")).where("n > 1")
-    # Elements that no other set shares come first in the order and meet nothing, so only their number counts.
+    # Two sets near the centre are linked through it, so only elements that a set far from it has can matter to either.
+    tokens = deltas.select("node", "centre", (F.col("excess") > less * F.col("its")).alias("far"), F.explode("delta").alias("token"))
+    shared = tokens.groupBy("centre", "token").agg(F.count("*").alias("n"), F.max("far").alias("any")).where("n > 1 and any").drop("any")
+    # The other elements come first in the order and meet nothing, so only their number counts.
     order = Window.partitionBy("node", "centre").orderBy("n", "token")
     ranked = tokens.join(shared, ["centre", "token"]).withColumn("rank", F.row_number().over(order)).withColumn("alike", F.count("*").over(Window.partitionBy("node", "centre")))
     about = deltas.drop("delta").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
