@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nestra.operators import nested, tables
+from nestra.operators import nested, streams, tables
 
-MODULES: tuple = (nested, tables)
+MODULES: tuple = (nested, tables, streams)
 
 
 def queries() -> dict:
