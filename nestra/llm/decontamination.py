@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, alignment scores them.
 
-Words are lower-cased and without punctuation. Of each test item the rarest
-n-grams, by their count in all documents, are its seeds; a share of every
-item's grams, so that each item keeps seeds. Where a document has a seed, the
-passage around it is cut out, passages join items by seed, and each pair gets
-the Smith-Waterman score of its best local alignment (match 2, mismatch and gap
--1) as a part of the score of an exact copy.
+Words are lower-cased and without punctuation. All n-grams of a test item are
+its seeds, however common they are: a passage that many documents share makes
+its own grams common. Where a document has a seed, the passage around it is cut
+out, as wide as an alignment of the least score can be; passages join items by
+seed, and each pair gets the Smith-Waterman score of its best local alignment
+(match 2, mismatch and gap -1) as a part of the score of an exact copy. A copy
+without SEED_WORDS unedited words in a row has no seed and is not found.
 
 What tasks get of the seeds is a bitmap of fixed size; the join decides.
 
@@ -16,24 +17,25 @@ row for each doc_id; a null doc_id is a document too. Either table may be empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nestra.llm.common import Words, saved, signed, text_bytes, text_chunks
 
 SEED_WORDS = 3
-#: Share of an item's grams, the rarest, that are seeds; at least MIN_SEEDS.
-SEED_SHARE, MIN_SEEDS = 0.5, 6
 #: Least score of a contaminated pair, in parts of an exact copy's.
 MIN_SCORE = 0.5
 BITMAP_BITS = 1 << 25
 #: Seeds up to which their table (under 40 bytes a row) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Pairs, and cells of a row of all their tables, that are aligned at once.
+ALIGN_PAIRS, ALIGN_CELLS = 256, 1 << 18
 
 
 def item_grams(items: DataFrame, k: int = SEED_WORDS) -> DataFrame:
@@ -85,20 +87,6 @@ def _hits(words: Words, bitmap: np.ndarray, sizes: list[int]) -> tuple[np.ndarra
     return where[order], grams[order]
 
 
-def gram_frequencies(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """(gram, n): how often all documents have each gram of (gram), distinct."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(grams))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
-            _, found = _hits(Words(*text_bytes(batch.column(0)), lower=True, marks=True), bitmap.value, sizes)
-            gram, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    seen = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return grams.join(seen, "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def passages(docs: DataFrame, seeds: DataFrame, sizes: list[int], around: int) -> DataFrame:
     """(doc_id, number, at, words, grams, places): stretches of documents with possible seeds, `around` words about each."""
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds.select("gram").distinct()))
@@ -157,12 +145,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = SEED_WORDS, min_sc
     size = F.length("words") / 8
     facts = cut.agg(F.max(size).alias("longest"), F.collect_set(F.when((size < k) & (size > 0), size.cast("int"))).alias("short")).first()
     sizes = sorted({k, *facts.short})
-    around = int(1.5 * (facts.longest or 0)) + 2 * k
-    placed = cut.select("item_id", F.posexplode("grams").alias("place", "gram"))
-    frequency = saved(gram_frequencies(docs, placed.select("gram").distinct(), sizes), "gram-counts")
-    rarest = Window.partitionBy("item_id").orderBy("n", "place")
-    ranked = placed.join(frequency, "gram").select("item_id", "gram", "place", F.row_number().over(rarest).alias("rank"), F.count("*").over(Window.partitionBy("item_id")).alias("grams"))
-    seeds = saved(ranked.where(F.col("rank") <= F.greatest(F.lit(MIN_SEEDS), F.ceil(F.col("grams") * SEED_SHARE))).select("item_id", "gram", "place"), "seeds")
+    slack = lambda n: math.ceil(MATCH * (1 - min_score) * n)  # noqa: E731  most words that a pair of the least score adds to an item of n words: each costs 1
+    longest = int(facts.longest or 0)
+    around = longest + slack(longest) + k
+    seeds = saved(cut.select("item_id", F.posexplode("grams").alias("place", "gram")).select("item_id", "gram", "place"), "seeds")
     small = seeds.count() <= broadcast_rows
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
@@ -178,13 +164,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = SEED_WORDS, min_sc
             rows = []
             for at, low, high, words, item in zip(*(batch.column(i) for i in range(2, 7)), strict=True):
                 words, item = np.frombuffer(words.as_py(), "<u8"), np.frombuffer(item.as_py(), "<u8")
-                slack = len(item) // 3 + 2
-                first = max(0, low.as_py() - slack)
-                rows.append((at.as_py() + first, words[first : high.as_py() + len(item) + slack], item))
+                first = max(0, low.as_py() - slack(len(item)))
+                rows.append((at.as_py() + first, words[first : high.as_py() + len(item) + slack(len(item))], item))
             order = np.argsort([len(r[1]) for r in rows], kind="stable")  # pairs of like size align together
             scores, ends = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
-            for i in range(0, len(order), 256):
-                part = order[i : i + 256]
+            while len(order):
+                n = 1
+                while n < min(len(order), ALIGN_PAIRS) and (n + 1) * len(rows[order[n]][1]) <= ALIGN_CELLS:
+                    n += 1
+                part, order = order[:n], order[n:]
                 scores[part], end = align([rows[j][2] for j in part], [rows[j][1] for j in part])
                 ends[part] = end + [rows[j][0] for j in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(ends)], ["doc_id", "item_id", "score", "end_word"])

@@ -50,6 +50,21 @@ def test_decontamination_against_all_pairs(spark):
     assert decontamination.decontaminate(df, bench.limit(0)).collect() == []
 
 
+def test_items_that_many_documents_hold_in_part(spark):
+    word = lambda i, n: [f"i{i}w{j}" for j in range(n)]
+    third = lambda ws: [w if j % 3 != 2 else f"x{j}" for j, w in enumerate(ws)]
+    items = {1: word(1, 20), 2: word(2, 40), 3: word(3, 59), 4: word(4, 30), 5: word(5, 20)}
+    docs = {i: "a b c " + " ".join(items[i % 3 + 1][: (11, 20, 30)[i % 3]]) + f" d{i} e{i}" for i in range(90)}  # a passage that most documents share
+    docs |= {100 + i: "a b c " + " ".join(items[i][:half] + third(items[i][half:])) + " d e" for i, half in ((1, 11), (2, 20), (3, 30))}
+    docs[110] = "q " * 50 + " ".join(f"{w} y{j}" if j < 27 else w for j, w in enumerate(items[4])) + " z" * 50  # all edits before the only seed
+    docs[111] = "q " * 200 + " ".join(items[5][:4]) + " z" * 100 + " " + " ".join(items[5][:9]) + " z" * 300  # too little of an item, twice
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    expected = {(d, i): s for d, t in docs.items() for i, w in items.items() if (s := brute_score(" ".join(w), t)) >= 0.5}
+    assert len(expected) == 94
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.decontaminate(df, bench).collect()} == pytest.approx(expected)
+
+
 def brute_pii(text):
     """The base spans by the patterns as they are stated."""
     found = []
