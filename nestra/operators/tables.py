@@ -111,6 +111,14 @@ def ref_closure(spark, d):
     return contract.closure(edges, depth=4)
 
 
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT c_nationkey AS a, (c_custkey * 7 + c_nationkey) % 25 AS b FROM customer),
+ reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+ SELECT CAST(a AS BIGINT) AS source, CAST(b AS BIGINT) AS target FROM reach""")
+def ref_closure_all(spark, d):
+    edges = table(spark, d, "customer").selectExpr("cast(c_nationkey as long) source", "cast((c_custkey * 7 + c_nationkey) % 25 as long) target")
+    return contract.closure(edges)
+
+
 @query("""WITH old AS (SELECT p_name AS name, p_brand || p_size AS sig, p_brand AS scope FROM part WHERE p_partkey % 2 = 0), new AS (SELECT p_name || '2' AS name, p_brand || p_size AS sig, p_brand AS scope FROM part WHERE p_partkey % 2 = 1),
  o AS (SELECT *, count(*) OVER (PARTITION BY scope, sig) AS n FROM old), w AS (SELECT *, count(*) OVER (PARTITION BY scope, sig) AS n FROM new)
  SELECT o.name AS old_name, w.name AS new_name FROM o JOIN w USING (scope, sig) WHERE o.n = 1 AND w.n = 1""")

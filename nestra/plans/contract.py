@@ -75,14 +75,20 @@ def renames(old: DataFrame, new: DataFrame) -> DataFrame:
     return one(old, "old_name").join(one(new, "new_name"), ["scope", "sig"]).select("old_name", "new_name")
 
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """(source, target) reachable over at most `depth` edges; distinct each round, so cycles end."""
-    reach = frontier = edges.select("source", "target").distinct()
-    step = edges.select(F.col("source").alias("target"), F.col("target").alias("next"))
-    for _ in range(depth - 1):
-        frontier = frontier.join(step, "target").select("source", F.col("next").alias("target")).distinct()
-        reach = reach.union(frontier)
-    return reach.distinct()
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, target) reachable over at most `depth` edges, or over any number; rounds end when one adds no pair."""
+    reach = frontier = edges.select("source", "target").distinct().localCheckpoint()
+    step = edges.select(F.col("source").alias("target"), F.col("target").alias("next")).distinct()
+    length = 1
+    while depth is None or length < depth:
+        come = frontier.join(step, "target").select("source", F.col("next").alias("target")).distinct()
+        seen = reach.select(F.col("source").alias("__source"), F.col("target").alias("__target"))
+        frontier = come.join(seen, F.col("source").eqNullSafe(F.col("__source")) & F.col("target").eqNullSafe(F.col("__target")), "left_anti").localCheckpoint()
+        if frontier.isEmpty():
+            break
+        reach = reach.union(frontier).coalesce(max(1, reach.rdd.getNumPartitions())).localCheckpoint()
+        length += 1
+    return reach
 
 
 def route(df: DataFrame, routes: DataFrame, on: str, key: str, target: str, fallback: str) -> DataFrame:

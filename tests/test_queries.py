@@ -68,3 +68,13 @@ def test_contract_diff(spark):
     diff = contract.diff_fields(old, new)
     assert {(r.name, r.change, r.breaking) for r in diff.collect()} == {("a", "type changed", True), ("a", "param now required", True), ("b", "field removed", True), ("c", "param no longer required", False), ("d", "field added", False)}
     assert contract.summarise(diff).first().asDict() == {"total": 5, "breaking": 3, "non_breaking": 2, "compatible": False}
+
+
+def test_closure_runs_to_a_fixed_point(spark):
+    edges = [(i, i + 1) for i in range(9)] + [(20, 21), (21, 20), (None, 30), (30, 30), (30, None)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    expected = {(i, j) for i in range(10) for j in range(i + 1, 10)} | {(i, j) for i in (20, 21) for j in (20, 21)} | {(None, 30), (None, None), (30, 30), (30, None)}
+    pairs = contract.closure(df).collect()
+    assert {(r.source, r.target) for r in pairs} == expected and len(pairs) == len(expected)
+    assert {(r.source, r.target) for r in contract.closure(df, depth=2).where("source < 10").collect()} == {(i, j) for i, j in expected if i is not None and i < 10 and j - i <= 2}
+    assert contract.closure(df.limit(0)).collect() == []
