@@ -158,6 +158,14 @@ def lock_ordinals(spark, d):
     return contract.extend_lock(locked, new, order="p_partkey", next_ordinal=100)
 
 
+@query("""WITH lock AS (SELECT p_name, p_partkey, CAST(p_partkey * 2 AS BIGINT) AS ordinal FROM part WHERE p_size <= 25)
+ SELECT * FROM lock UNION ALL SELECT p_name, p_partkey, (SELECT coalesce(max(ordinal) + 1, 0) FROM lock) + row_number() OVER (ORDER BY p_partkey) - 1 FROM part WHERE p_size > 25 OR p_size IS NULL""")
+def lock_ordinals_all(spark, d):
+    part = table(spark, d, "part")
+    locked = part.where("p_size <= 25").select("p_name", "p_partkey", (F.col("p_partkey") * 2).cast("long").alias("ordinal"))
+    return contract.extend_lock(locked, part.select("p_name", "p_partkey"), order="p_partkey")
+
+
 @query("""SELECT page_id, CASE WHEN q LIKE '%page_token=%' THEN 'page-token' WHEN regexp_matches(q, '(^|&)page=') THEN 'page' WHEN regexp_matches(q, '(^|&)cursor=') THEN 'cursor' WHEN regexp_matches(q, '(^|&)offset=') THEN 'offset' ELSE 'unknown' END AS kind
  FROM (SELECT page_id, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages)""")
 def classify_pages(spark, d):

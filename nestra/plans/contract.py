@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +56,24 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("fingerprint", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(columns)]), 256))
 
 
-def extend_lock(locked: DataFrame, members: DataFrame, order: str, next_ordinal: int) -> DataFrame:
-    """The lock with ordinals from next_ordinal on for members it lacks, in their order; old ones never change.
+def extend_lock(locked: DataFrame, members: DataFrame, order: str, next_ordinal: int | None = None) -> DataFrame:
+    """The lock with ordinals from next_ordinal on, or from its own maximum plus one, for members it lacks, in their order; old ones never change.
 
     Members are counted by range partitions and numbered within them, so no task sees them all.
     """
     key = [c for c in members.columns]
-    new = members.join(locked.select(*key), key, "left_anti")
+    had = locked.select(*[F.col(c).alias(f"__had_{c}") for c in key])
+    new = members.join(had, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__had_{c}")) for c in key]), "left_anti")
     n = new.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = new.repartitionByRange(int(n), order).withColumn("__part", F.spark_partition_id())
     inner = Window.partitionBy("__part").orderBy(order)
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     numbered = ranged.withColumn("__rn", F.row_number().over(inner)).join(F.broadcast(before), "__part")
-    return locked.unionByName(numbered.select(*key, (F.col("__before") + F.col("__rn") - 1 + next_ordinal).alias("ordinal")))
+    begin = F.lit(next_ordinal) if next_ordinal is not None else F.col("__next")
+    if next_ordinal is None:
+        numbered = numbered.crossJoin(F.broadcast(locked.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("__next"))))
+    return locked.unionByName(numbered.select(*key, (F.col("__before") + F.col("__rn") - 1 + begin).alias("ordinal")))
 
 
 def renames(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -78,3 +78,11 @@ def test_closure_runs_to_a_fixed_point(spark):
     assert {(r.source, r.target) for r in pairs} == expected and len(pairs) == len(expected)
     assert {(r.source, r.target) for r in contract.closure(df, depth=2).where("source < 10").collect()} == {(i, j) for i, j in expected if i is not None and i < 10 and j - i <= 2}
     assert contract.closure(df.limit(0)).collect() == []
+
+
+def test_lock_recognises_members_and_goes_on_from_its_maximum(spark):
+    lock = spark.createDataFrame([("a", 1, 7), (None, 2, 3)], "name string, id int, ordinal long")
+    members = spark.createDataFrame([("a", 1), (None, 2), ("b", 4), ("c", 3)], "name string, id int")
+    extend = lambda old: {(r.name, r.id): r.ordinal for r in contract.extend_lock(old, members, order="id").collect()}
+    assert extend(lock) == {("a", 1): 7, (None, 2): 3, ("c", 3): 8, ("b", 4): 9}
+    assert extend(lock.limit(0)) == {("a", 1): 0, (None, 2): 1, ("c", 3): 2, ("b", 4): 3}
