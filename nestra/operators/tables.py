@@ -178,6 +178,18 @@ def scalar_names(spark, d):
     return table(spark, d, "pages").select("page_id", retryable(status).alias("retry"), F.lower(snake_case(F.substring(masked_url(F.lower("url")), 1, 40))).alias("name"))
 
 
+@query(r"""WITH given AS (SELECT page_id, [200, 404, 408, 429, 500, 501, 503][CAST(page_id % 7 AS INT) + 1] AS status,
+  CASE WHEN page_id % 2 = 0 THEN replace(url, '://', '://u:pw@') ELSE url END || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'api_key=k' || page_id AS url FROM pages),
+ masked AS (SELECT page_id, status, regexp_replace(regexp_replace(url, '://[^/@?#]*@', '://***@', 'g'), '([?&](?:[a-z_-]*(?:token|key|secret|password|auth)[a-z_-]*)=)[^&#]*', '\1***', 'gi') AS url FROM given)
+ SELECT page_id, status IN (408, 429) OR (status >= 500 AND status <> 501) AS retry, url AS masked,
+  substr(lower(regexp_replace(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 64) AS name FROM masked""")
+def scalar_names_all(spark, d):
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 404, 408, 429, 500, 501, 503)]), (F.col("page_id") % 7 + 1).cast("int"))
+    user = F.when(F.col("page_id") % 2 == 0, F.replace("url", F.lit("://"), F.lit("://u:pw@"))).otherwise(F.col("url"))
+    masked = masked_url(F.concat(user, F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("api_key=k"), F.col("page_id").cast("string")))
+    return table(spark, d, "pages").select("page_id", retryable(status).alias("retry"), masked.alias("masked"), snake_case(masked).alias("name"))
+
+
 @query("SELECT conv_id, list_distinct_ordered AS roles, n FROM (SELECT conv_id, string_agg(role, ',' ORDER BY first_turn) AS list_distinct_ordered, CAST(sum(n) AS BIGINT) AS n FROM (SELECT conv_id, role, min(turn) AS first_turn, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id)")
 def ordered_distinct(spark, d):
     first = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))

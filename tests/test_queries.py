@@ -86,3 +86,10 @@ def test_lock_recognises_members_and_goes_on_from_its_maximum(spark):
     extend = lambda old: {(r.name, r.id): r.ordinal for r in contract.extend_lock(old, members, order="id").collect()}
     assert extend(lock) == {("a", 1): 7, (None, 2): 3, ("c", 3): 8, ("b", 4): 9}
     assert extend(lock.limit(0)) == {("a", 1): 0, (None, 2): 1, ("c", 3): 2, ("b", 4): 3}
+
+
+def test_whole_urls_are_masked_and_all_statuses_judged(spark, sf_dir):
+    rows = registry.queries()["scalar_names_all"](spark, sf_dir).collect()
+    assert {(r.page_id % 7, r.retry) for r in rows} == {(0, False), (1, False), (2, True), (3, True), (4, True), (5, False), (6, True)}
+    assert all(r.masked.endswith("api_key=***") and "pw@" not in r.masked and len(r.name) <= 64 for r in rows)
+    assert max(len(r.name) for r in rows) > 40
