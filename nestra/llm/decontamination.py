@@ -183,5 +183,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = SEED_WORDS, min_sc
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no test item contaminates."""
-    return docs.join(decontaminate(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents that no test item contaminates; each row is judged by its own doc_id, null or not, and text."""
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), items)
+    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)

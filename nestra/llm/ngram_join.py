@@ -428,7 +428,10 @@ def join_similar(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, and all documents without words."""
-    first = join_similar(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.select(F.col("doc_id").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.select(docs.columns)
+    """One row of each component, with the smallest doc_id and a null one last, and all documents without words."""
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = join_similar(rows.select(F.col("__row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("__row"), "component_id", (F.col("n_shingles") > 0).alias("__words")).distinct()
+    named = found.join(rows.select("__row", "doc_id").distinct(), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "__words")).alias("x")).select("x.__row", "x.__words")
+    kept = rows.join(first, "__row").withColumn("__copy", F.when(~F.col("__words"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["__row", "__copy"]).select(docs.columns)

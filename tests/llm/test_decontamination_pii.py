@@ -115,3 +115,13 @@ def test_pii_query_and_added_spans(spark, sf_dir):
     rows = pii.find_pii(odd, model, redact=True).collect()
     assert [(r.doc_id, r.redacted) for r in sorted(rows, key=lambda r: r.doc_id)] == [(1, None), (2, ""), (3, "[EMAIL]"), (3, "[EMAIL]")]
     assert pii.find_pii(odd.limit(0), pii.fit(odd.limit(0))).collect() == []
+
+
+def test_keep_clean_judges_each_row(spark):
+    item, clean = " ".join(f"t{i}" for i in range(20)), " ".join(f"c{i}" for i in range(30))
+    rows = [(None, item), (None, clean), (7, item), (7, clean), (7, None), (None, None), (8, clean)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.keep_clean(df, bench)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(t)) for i, t in rows if t != item)

@@ -175,3 +175,13 @@ def test_pipeline_stages(spark, sf_dir):
             assert not any(base for r in docs.collect() for _, _, _, base, _ in pii.proposals(r.text))
     assert kept["packing"] == kept["personal_data"]
     assert docs.agg(F.sum("length")).first()[0] == docs.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (None, a), (2, a + " more"), (1, b), (None, c), (None, c), (None, c + " more"), (None, None), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, source string")
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted((str(r.doc_id), str(r.text).split(" more")[0]) for r in got.collect())
+    assert kept == sorted([("1", a), ("1", b), ("None", c), ("None", "None"), ("None", "None"), ("3", "")])
