@@ -411,20 +411,21 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = P
 
 
 def join_similar(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of (doc_id, text).
+    """(doc_id, n_shingles, component_id, n_spanning_links) of (doc_id, text).
 
-    component_id: the smallest doc_id reachable by links. n_links: verified
-    links of the document's set to other sets; enough to form the component.
+    component_id: the smallest doc_id reachable by links. n_spanning_links:
+    those links of the document's set to other sets that were verified to form the
+    component; pairs within one component are not tested, so it is not their number.
     """
     docs = docs.select("doc_id", "text")
     nodes = saved(nodes_of(docs, n), "nodes")
     labels, links = linked_nodes(docs, nodes, n, percent, spare, rounds)
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_spanning_links"))
     first = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     named = first.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    place = named.join(least, "component").join(ends, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return nodes.join(place, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    place = named.join(least, "component").join(ends, "node", "left").select("node", "component_id", F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
+    return nodes.join(place, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -10,7 +10,7 @@ from nestra.llm.common import scratch, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_similar(table(spark, sf_dir, "documents")).drop("n_links")
+    return ngram_join.join_similar(table(spark, sf_dir, "documents")).drop("n_spanning_links")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,8 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     assert got.columns == df.columns
     kept = sorted((str(r.doc_id), str(r.text).split(" more")[0]) for r in got.collect())
     assert kept == sorted([("1", a), ("1", b), ("None", c), ("None", "None"), ("None", "None"), ("3", "")])
+
+
+def test_link_counts_are_named_for_what_they_count(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "doc_id long, text string")
+    assert ngram_join.join_similar(df).columns == ["doc_id", "n_shingles", "component_id", "n_spanning_links"]
