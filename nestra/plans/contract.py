@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 from operator import and_
 
@@ -84,16 +85,19 @@ def renames(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(source, target) reachable over at most `depth` edges, or over any number; rounds end when one adds no pair."""
-    reach = frontier = edges.select("source", "target").distinct().localCheckpoint()
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    reach = frontier = edges.select("source", "target").distinct().checkpoint()
     step = edges.select(F.col("source").alias("target"), F.col("target").alias("next")).distinct()
     length = 1
     while depth is None or length < depth:
         come = frontier.join(step, "target").select("source", F.col("next").alias("target")).distinct()
         seen = reach.select(F.col("source").alias("__source"), F.col("target").alias("__target"))
-        frontier = come.join(seen, F.col("source").eqNullSafe(F.col("__source")) & F.col("target").eqNullSafe(F.col("__target")), "left_anti").localCheckpoint()
+        frontier = come.join(seen, F.col("source").eqNullSafe(F.col("__source")) & F.col("target").eqNullSafe(F.col("__target")), "left_anti").checkpoint()
         if frontier.isEmpty():
             break
-        reach = reach.union(frontier).coalesce(max(1, reach.rdd.getNumPartitions())).localCheckpoint()
+        reach = reach.union(frontier).coalesce(max(1, reach.rdd.getNumPartitions())).checkpoint()
         length += 1
     return reach
 
