@@ -50,6 +50,13 @@ SPARE, EACH_TEN = 2, 1
 ROUNDS = 2
 #: The largest group of sets of a signature whose pairs meet directly; larger ones meet around a centre.
 DIRECT = 16
+#: Texts of the sample that shows which signatures are common; one is with so many of them at least, and as a share of the
+#: sample. Common ones, at most one in COMMON_LEAST of the sample's signatures, are dealt to so many tasks each.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_SHARE, COMMON_PARTS = 20_000, 64, 1 / 256, 64
+#: Sets that a task remembers, to leave out copies; more begin anew.
+REMEMBERED = 1 << 16
+#: How often sets without possible partners are left out before the elements of the others are joined.
+PRUNE_ROUNDS = 2
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -216,18 +223,46 @@ def nodes_of(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, schemes: Schemes, n: int = N) -> DataFrame:
-    """(sig, node, slack, scheme) of all documents; those of equal sets are equal."""
+    """(sig, node, slack, scheme) of all documents; a task leaves out sets that it remembers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in text_chunks(batches):
             sets = shingle_sets(*text_bytes(batch.column(0)), n)
-            owner, sig, slack, scheme = signatures(sets, schemes)
-            node = np.array([set_hash(s) for s in sets], np.int64)
+            named = {set_hash(s): s for s in sets if len(s)}
+            named = {h: s for h, s in named.items() if h not in known}
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update(named)
+            owner, sig, slack, scheme = signatures(list(named.values()), schemes)
+            node = np.array(list(named), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(node[owner]), pa.array(slack.astype(np.int32)), pa.array(scheme.astype(np.int32))], ["sig", "node", "slack", "scheme"])
 
     return docs.select("text").mapInArrow(cut, "sig long, node long, slack int, scheme int")
 
 
+def common_signatures(docs: DataFrame, schemes: Schemes, n: int = N) -> DataFrame:
+    """(sig) that a good share of a bounded sample has. They are only dealt out otherwise; what is found does not depend on them."""
+    size = docs.count()
+    share = min(1.0, COMMON_SAMPLE / max(1, size))
+    sample = docs if share == 1 else docs.where(F.rand(11) < share)
+    least = max(COMMON_LEAST, COMMON_SHARE * share * size)
+    return saved(signature_rows(sample, schemes, n).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("sig"), "common")
+
+
+def shared_signatures(docs: DataFrame, schemes: Schemes, n: int = N) -> DataFrame:
+    """(sig, node, slack, scheme) of the signatures that more than one set has, and of common ones.
+
+    All signatures are dealt once. A common one is dealt in parts, by set, and kept whole.
+    """
+    common = common_signatures(docs, schemes, n).withColumn("__common", F.lit(True))
+    part = F.when(F.col("__common"), F.pmod(F.xxhash64("node"), F.lit(COMMON_PARTS)).cast("int")).otherwise(-1)
+    dealt = signature_rows(docs, schemes, n).join(F.broadcast(common), "sig", "left").select("sig", "node", "slack", "scheme", part.alias("part"))
+    own = Window.partitionBy("sig", "part")
+    held = dealt.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).where("low < high or part >= 0")
+    return held.groupBy("sig", "part", "node", "scheme").agg(F.min("slack").alias("slack")).select("sig", "node", "slack", "scheme")
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
     """(node, grams) of the nodes in (node, doc_id, key), which name one document for each."""
 
@@ -321,27 +356,48 @@ def _deltas(met: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("node", "centre", "x", "y").mapInArrow(cut, "node long, centre long, size long, its long, apart long, delta array<long>")
 
 
+def _homes(crowd: DataFrame) -> DataFrame:
+    """(node, centre) of the crowded signatures in (sig, node): for each signature of a set the centre that all its sets are held against.
+
+    A signature's first centre is the set with most signatures. Twice, each set takes the centre that most of its
+    signatures have, and each signature the one that most of its sets have, so that nearly all of a family agree on one.
+    """
+    weight = crowd.groupBy("node").agg(F.count("*").alias("weight"))
+    centre = crowd.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("centre"))
+    for _ in range(2):
+        home = crowd.join(centre, "sig").groupBy("node").agg(F.mode("centre", True).alias("centre"))
+        centre = saved(crowd.join(home, "node").groupBy("sig").agg(F.mode("centre", True).alias("centre")), "centres")
+    return saved(crowd.join(centre, "sig").select("node", "centre").where("node <> centre").distinct(), "met")
+
+
 def _around(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) of sets with their centres, pairs (a, b) that may be linked) of the crowded signatures in (sig, node).
 
-    Sets x and y that meet in a signature are held against its centre c. With
+    Sets x and y that meet in a signature are held against its centre c, any set. With
     D(x) for the elements that only one of x and c has, and
     excess(x) = (100 + percent) |D(x)| - (100 - percent) |x|, they are linked if and
     only if 2 (100 + percent) |D(x) & D(y)| >= excess(x) + excess(y). If the right
     side is not above 0, both are linked with c. Else D(x) and D(y) share so many
     elements that, in one order of all, x has one of them among its first
     |D(x)| - least + 1. Elements of sets near c alone stand first, then rare ones;
-    y's excess is known by bucket.
+    y's excess is known by bucket. A set of whose elements too few are shared with
+    any other set is left out before that, as it has no partner.
     """
     more, less = 100 + percent, 100 - percent
-    weight = crowd.groupBy("node").agg(F.count("*").alias("weight"))
-    centre = crowd.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("centre"))
-    met = saved(crowd.join(centre, "sig").select("node", "centre").where("node <> centre").distinct(), "met")
     excess = more * F.col("apart") - less * F.col("size")
-    deltas = saved(_deltas(met, sets).withColumn("excess", excess).withColumn("wide", F.greatest(F.lit(1), F.floor(less * F.col("its") / 4))), "deltas")
+    deltas = saved(_deltas(_homes(crowd), sets).withColumn("excess", excess).withColumn("wide", F.greatest(F.lit(1), F.floor(less * F.col("its") / 4))), "deltas")
     near = deltas.where(F.col("excess") <= less * F.col("its")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    # Two sets near the centre are linked through it, so only elements that a set far from it has can matter to either.
-    tokens = deltas.select("node", "centre", (F.col("excess") > less * F.col("its")).alias("far"), F.explode("delta").alias("token"))
+    # The least excess that a partner can have: with less, both are near the centre, or their sizes do not fit.
+    floor = F.greatest(1 - F.col("excess"), F.col("excess") - F.floor(2 * less * F.col("size") * 100 / percent) - 1)
+    far = F.col("excess") > less * F.col("its")
+    for _ in range(PRUNE_ROUNDS):
+        # Two sets near the centre are linked through it, so only elements that a set far from it has can matter to either.
+        tokens = deltas.select("node", "centre", far.alias("far"), F.explode("delta").alias("token"))
+        counts = tokens.groupBy("centre", "token").agg(F.count("*").alias("n"), F.max("far").alias("any"), F.min("node").alias("node"))
+        lone = counts.where("n = 1").groupBy("node", "centre").agg(F.count("*").alias("lone"))
+        left = deltas.join(lone, ["node", "centre"], "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        deltas = saved(left.where(2 * more * (F.col("apart") - F.col("lone")) - F.col("excess") >= floor).drop("lone"), "deltas")
+    tokens = deltas.select("node", "centre", far.alias("far"), F.explode("delta").alias("token"))
     shared = tokens.groupBy("centre", "token").agg(F.count("*").alias("n"), F.max("far").alias("any")).where("n > 1 and any").drop("any")
     # The other elements come first in the order and meet nothing, so only their number counts.
     order = Window.partitionBy("node", "centre").orderBy("n", "token")
@@ -350,7 +406,7 @@ def _around(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     placed = ranked.select("node", "centre", "token", (F.col("alike") - F.col("rank")).alias("after")).join(about, ["node", "centre"])
     bucket = lambda x: F.floor(x / F.col("wide")).cast("long")
     # The place of the element bounds the other set's excess; and excesses of a linked pair are not far apart.
-    low = bucket(F.greatest(1 - F.col("excess"), F.col("excess") - F.floor(2 * less * F.col("size") * 100 / percent) - 1))
+    low = bucket(floor)
     high = bucket(F.least(2 * more * (F.col("after") + 1) - F.col("excess"), F.col("excess") + 2 * less * F.col("size")))
     rows = placed.select("node", "centre", "token", "size", "component", bucket(F.col("excess")).alias("own"), low.alias("low"), high.alias("high")).where("low <= high")
     rows = saved(rows.withColumn("other", F.explode(F.sequence("low", "high"))).drop("low", "high"), "placed")
@@ -386,10 +442,9 @@ def _centres(left: DataFrame) -> DataFrame:
 def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = PERCENT, spare: int = SPARE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """((node, component), links (a, b)): all components of linked nodes, and the verified links that form them."""
     schemes = Schemes(percent, spare)
-    rows = signature_rows(docs, schemes, n)
-    shared = rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("top")).where("centre < top").select("sig", "centre")
-    candidates = saved(rows.join(shared, "sig").groupBy("sig", "node", "centre", "scheme").agg(F.min("slack").alias("slack")), "candidates")
-    pairs = _centred(candidates)
+    candidates = saved(shared_signatures(docs, schemes, n), "candidates")
+    shared = candidates.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("top")).where("centre < top").select("sig", "centre")
+    pairs = _centred(candidates.join(shared, "sig"))
     named = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("node", "x.*")
     wanted = named.join(candidates.select("node").distinct(), "node", "left_semi")
     sets = saved(whole_sets(docs, wanted, n), "sets")
