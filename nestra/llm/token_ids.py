@@ -8,6 +8,7 @@ against each other.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +44,30 @@ def encoding(path: str):
     return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: A long run of the pattern's white space (Unicode's property, without which Python's class has four more).
+_BLANK = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 10_000
+_LONG = re.compile(rf"(?<!{_BLANK}){_BLANK}{{{LONG_RUN},}}+")
+
+
+def _ordinary(text: str, enc) -> list[int]:
+    """Ids of a text without markers. A run's last character belongs to what follows it, if anything does."""
+    if len(text) < LONG_RUN:
+        return enc.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _LONG.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += enc.encode_ordinary(text[at : run.start()]) + enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def encode(text: str, path: str, special: bool = True) -> np.ndarray:
-    """Ids as uint32. special: the vocabulary's own markers in a text get their ids, else they are plain text."""
+    """Ids as uint32. special: the end-of-text marker in a text gets its id, else it is plain text."""
     enc = encoding(path)
-    return np.asarray(enc.encode(text, allowed_special="all") if special and END_OF_TEXT in text else enc.encode_ordinary(text), dtype=np.uint32)
+    if not special or END_OF_TEXT not in text:
+        return np.asarray(_ordinary(text, enc), dtype=np.uint32)
+    ids: list[int] = []
+    for part in text.split(END_OF_TEXT):
+        ids += [*_ordinary(part, enc), enc.eot_token]
+    return np.asarray(ids[:-1], dtype=np.uint32)
