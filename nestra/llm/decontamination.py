@@ -1,24 +1,32 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, alignment scores them.
-
-Words are lower-cased and without punctuation. All n-grams of a test item are
-its seeds, however common they are: a passage that many documents share makes
-its own grams common. Where a document has a seed, the passage around it is cut
-out, as wide as an alignment of the least score can be; passages join items by
-seed, and each pair gets the Smith-Waterman score of its best local alignment
-(match 2, mismatch and gap -1) as a part of the score of an exact copy. A copy
-without SEED_WORDS unedited words in a row has no seed and is not found.
-
-What tasks get of the seeds is a bitmap of fixed size; the join decides.
-
-Cases: null or empty texts and items have no words and match nothing. An item
-shorter than a seed is one seed as a whole. Repeated rows of documents give a
-row for each doc_id; a null doc_id is a document too. Either table may be empty.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+
+Words are lower-cased and without punctuation. A pair's score is that of its
+best local alignment (match 2, mismatch and gap -1) as a part of the score of an
+exact copy. Between two runs of equal words there is an edit at least, so an
+alignment of a score s over an item of n words holds least_seeds(n, s) pairs of
+neighbouring words of the item, within span(n, s) words of the text. Seeds are
+such pairs. Of an item's, so many less one as an alignment must hold, those most
+frequent in all documents, are not rare; an alignment still holds a rare one.
+Stretches of a document with enough seeds of an item, a rare one among them, are
+aligned with it. So nothing of MIN_SCORE or more is missed, whatever the edits.
+
+The seeds are joined where the documents are: an index of at most INDEX_ROWS
+seeds is broadcast, a larger benchmark is taken in several parts. Documents are
+not moved. Long stretches are aligned in blocks that overlap by a span, and
+blocks together up to a fixed number of cells.
+
+Cases: null or empty texts and items have no words and match nothing. Items of
+too few words for a seed to be sure (5 or fewer) count as exact copies only.
+Repeated rows of documents give one row for each doc_id and item; a null doc_id
+is a document too; of equal scores the first place counts. A text of any length
+is read whole. Either table may be empty. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,91 +35,132 @@ from pyspark.sql import functions as F
 
 from nestra.llm.common import Words, saved, signed, text_bytes, text_chunks
 
-SEED_WORDS = 3
-#: Least score of a contaminated pair, in parts of an exact copy's.
-MIN_SCORE = 0.5
+#: Least score of a contaminated pair, in parts of an exact copy's; over 0.5.
+MIN_SCORE = 0.6
 BITMAP_BITS = 1 << 25
-#: Seeds up to which their table (under 40 bytes a row) is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Seeds of items that are broadcast at once (24 bytes each).
+INDEX_ROWS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Pairs, and cells of a row of all their tables, that are aligned at once.
-ALIGN_PAIRS, ALIGN_CELLS = 256, 1 << 18
+#: Pairs, and cells of a row of all their tables, that are aligned at once; items whose seeds are looked up at once.
+ALIGN_PAIRS, ALIGN_CELLS, ITEM_BLOCK = 256, 1 << 18, 64
+#: Seeds found at once; a block of items with more is halved.
+HITS = 1 << 21
+
 
+def least_seeds(n: int, min_score: float) -> int:
+    """Pairs of neighbouring words that an alignment of that score with an item of n words holds; 0: it may hold none."""
+    return max(0, math.ceil((2 * min_score - 1) * n - 1 - 1e-9))
 
-def item_grams(items: DataFrame, k: int = SEED_WORDS) -> DataFrame:
-    """(item_id, words, grams) of (item_id, text): hashes of all words, and of the k words from each on."""
+
+def span(n: int, min_score: float) -> int:
+    """Most words of the text in such an alignment: each that the item lacks costs 1."""
+    return n + math.ceil(MATCH * (1 - min_score) * n)
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, words) of (item_id, text): hashes of all words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             words = Words(*text_bytes(batch.column(1)), lower=True, marks=True)
-            all_words, grams = [], []
-            for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-                own = words.hashes[a:b]
-                all_words.append(own.astype("<u8").tobytes())
-                grams.append(signed(_grams(own, k)).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(all_words, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["item_id", "words", "grams"])
+            own = [words.hashes[a:b].astype("<u8").tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(own, pa.binary())], ["item_id", "words"])
 
-    return items.select("item_id", "text").mapInArrow(cut, "item_id long, words binary, grams array<long>")
+    return items.select("item_id", "text").mapInArrow(cut, "item_id long, words binary")
 
 
 def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
     holder = Words.__new__(Words)
     holder.hashes = hashes
-    return holder.grams(min(k, len(hashes))) if len(hashes) else np.zeros(0, np.uint64)
-
-
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """The bits of (gram) in a map of BITMAP_BITS; what reaches the driver has that size at most."""
-    slot = F.pmod(F.col("gram"), F.lit(BITMAP_BITS))
-    words = grams.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(BITMAP_BITS // 64, np.uint64)
-    out[[r.word for r in words]] = np.array([r.bits for r in words], np.int64).view(np.uint64)
-    return out
-
-
-def _possible(grams: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    slot = grams & np.uint64(BITMAP_BITS - 1)
-    return bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) != 0
-
-
-def _hits(words: Words, bitmap: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, gram) of all that may be seeds. sizes: k, and the lengths of items that are shorter."""
-    where, grams = [], []
-    for k in sizes:
-        g, at = words.grams(k), words.inside(k)
-        at = at[_possible(g[at], bitmap)]
-        where.append(at)
-        grams.append(g[at])
-    where, grams = np.concatenate(where), np.concatenate(grams)
-    order = np.argsort(where, kind="stable")
-    return where[order], grams[order]
-
-
-def passages(docs: DataFrame, seeds: DataFrame, sizes: list[int], around: int) -> DataFrame:
-    """(doc_id, number, at, words, grams, places): stretches of documents with possible seeds, `around` words about each."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds.select("gram").distinct()))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
-            words = Words(*text_bytes(batch.column(1)), lower=True, marks=True)
-            where, grams = _hits(words, bitmap.value, sizes)
-            if not len(where):
+    return holder.grams(k)
+
+
+class Index:
+    """The seeds of some items: sorted grams with the item and place of each, in blocks of items."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], counts: dict[int, int] | None, min_score: float):
+        self.ids, self.words = ids, words
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.least = np.array([least_seeds(n, min_score) for n in sizes], np.int64)
+        self.span = np.array([span(n, min_score) for n in sizes], np.int64)
+        self.bits = np.zeros(BITMAP_BITS // 64, np.uint64)
+        self.lengths: set[int] = set()  # of items that are seeds as a whole
+        self.blocks = []
+        for at in range(0, len(words), ITEM_BLOCK):
+            grams, owner, rare = [], [], []
+            for i in range(at, min(len(words), at + ITEM_BLOCK)):  # places with one gram count as often as it stands there
+                n, least = len(words[i]), self.least[i]
+                if not n:
+                    continue
+                own = _grams(words[i], 2 if least else n)
+                if not least:
+                    self.lengths.add(n)
+                kept = np.ones(len(own), bool)
+                if counts is not None and least > 1:
+                    often = np.array([counts.get(int(g), 0) for g in signed(own)])
+                    kept[np.argsort(-often, kind="stable")[: least - 1]] = False
+                own, at_own = np.unique(own, return_inverse=True)
+                grams.append(own)
+                owner.append(np.full(len(own), i))
+                rare.append(np.bincount(at_own, kept) > 0)
+            if grams:
+                grams, owner, rare = np.concatenate(grams), np.concatenate(owner), np.concatenate(rare)
+                order = np.argsort(grams, kind="stable")
+                self.blocks.append((grams[order], owner[order], rare[order]))
+                np.bitwise_or.at(self.bits, ((grams & np.uint64(BITMAP_BITS - 1)) >> np.uint64(6)).astype(np.int64), np.uint64(1) << (grams & np.uint64(63)))
+
+    def possible(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word index, gram, length) of all in a chunk of texts that may be seeds."""
+        found = []
+        for k in sorted({2, *self.lengths}):
+            g, at = words.grams(k), words.inside(k)
+            slot = g[at] & np.uint64(BITMAP_BITS - 1)
+            at = at[self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) != 0]
+            found.append((at, g[at], np.full(len(at), k)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def candidates(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, begin, end) of the stretches, as word indexes of the chunk, that alignments may lie in."""
+        where, grams, _ = self.possible(words)
+        text = np.searchsorted(words.first, where, side="right") - 1
+        out = []
+        waiting = self.blocks[::-1]
+        while waiting:
+            keys, owner, rare = waiting.pop()
+            low, high = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+            n = high - low
+            hit = np.flatnonzero(n)
+            if not len(hit):
+                continue
+            if n.sum() > HITS and owner.min() < owner.max():
+                half = owner <= (owner.min() + owner.max()) // 2
+                waiting += [tuple(x[~half] for x in (keys, owner, rare)), tuple(x[half] for x in (keys, owner, rare))]
                 continue
-            text = np.searchsorted(words.first, where, side="right") - 1
-            new = np.ones(len(where), bool)
-            new[1:] = (text[1:] != text[:-1]) | (where[1:] - where[:-1] > around)
-            begins = np.flatnonzero(new)
-            ends = np.append(begins[1:], len(where))
-            doc_ids = batch.column(0).cast(pa.int64()).to_pylist()
-            rows = []
-            for a, b in zip(begins, ends, strict=True):
-                t = text[a]
-                low, high = max(words.first[t], where[a] - around), min(words.first[t + 1], where[b - 1] + around)
-                rows.append((doc_ids[t], int(where[a] - words.first[t]), int(low - words.first[t]), words.hashes[low:high].astype("<u8").tobytes(), signed(grams[a:b]).tolist(), (where[a:b] - low).tolist()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "number", "at", "words", "grams", "places"])
-
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, number long, at long, words binary, grams array<long>, places array<long>")
+            each = np.repeat(hit, n[hit])
+            at = np.repeat(low[hit] - np.r_[0, np.cumsum(n[hit])[:-1]], n[hit]) + np.arange(len(each))
+            item, place, doc, is_rare = owner[at], where[each], text[each], rare[at]
+            order = np.lexsort((place, item, doc))
+            item, place, doc, is_rare = item[order], place[order], doc[order], is_rare[order]
+            # Each seed with those after it that stand within a span of the same item: are they enough, and one of them rare?
+            group = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+            number = np.repeat(np.arange(len(group)), np.diff(np.r_[group, len(doc)]))
+            apart = int(self.span.max()) + len(words.hashes) + 1  # further than any span: groups do not mix
+            line = number * apart + place
+            end = np.searchsorted(line, line + self.span[item] - 1)
+            rares = np.r_[0, np.cumsum(is_rare)]
+            enough = (end - np.arange(len(line)) >= np.maximum(1, self.least[item])) & (rares[end] > rares[:-1])
+            starts = np.flatnonzero(enough)
+            if not len(starts):
+                continue
+            # The words about them: an alignment begins and ends within a span of its seeds.
+            first = np.maximum(words.first[doc[starts]], place[starts] - self.span[item[starts]])
+            last = np.minimum(words.first[doc[starts] + 1], place[starts] + self.span[item[starts]])
+            new = np.r_[True, (number[starts][1:] != number[starts][:-1]) | (first[1:] > np.maximum.accumulate(number[starts] * apart + last)[:-1] - number[starts][1:] * apart)]
+            begin = np.flatnonzero(new)
+            out.append((doc[starts][begin], item[starts][begin], first[begin], np.maximum.reduceat(last, begin)))
+        if not out:
+            return (np.zeros(0, np.int64),) * 4
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,50 +185,75 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best / (MATCH * np.array([max(1, len(x)) for x in items])), end
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, k: int = SEED_WORDS, min_score: float = MIN_SCORE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _scores(index: Index, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, score, end word in the text) of the best alignment of each stretch or block of one."""
+    parts = []
+    for text, item, begin, end in zip(*index.candidates(words), strict=True):
+        wide = int(index.span[item])
+        step = max(4 * wide, 256)
+        for at in range(begin, max(begin + 1, end - wide), step):  # blocks overlap by a span
+            parts.append((text, item, at, min(end, at + step + wide)))
+    parts.sort(key=lambda p: p[3] - p[2])  # those of like size are aligned together
+    scores, ends, at = np.zeros(len(parts)), np.zeros(len(parts), np.int64), 0
+    while at < len(parts):
+        n = 1
+        while n < ALIGN_PAIRS and at + n < len(parts) and (n + 1) * (parts[at + n][3] - parts[at + n][2]) <= ALIGN_CELLS:
+            n += 1
+        some = parts[at : at + n]
+        scores[at : at + n], end = align([index.words[i] for _, i, _, _ in some], [words.hashes[a:b] for _, _, a, b in some])
+        ends[at : at + n] = end + [a - words.first[t] for t, _, a, _ in some]
+        at += n
+    text, item = (np.array([p[i] for p in parts], np.int64) for i in (0, 1))
+    short = index.least[item] == 0
+    scores[short & (scores < 1)] = 0
+    return text, item, scores, ends
+
+
+def gram_counts(docs: DataFrame, index: Index) -> DataFrame:
+    """(gram, n): how often what may be a seed of the index stands in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            _, grams, _ = shared.value.possible(Words(*text_bytes(batch.column(0)), lower=True, marks=True))
+            grams, n = np.unique(grams, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(grams)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    return docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, index_rows: int = INDEX_ROWS) -> DataFrame:
     """(doc_id, item_id, score, end_word) of contaminated pairs of (doc_id, text) and (item_id, text).
 
     One row for a pair; end_word counts the document's words up to the end of the best match.
     """
-    cut = saved(item_grams(items, k), "items")
-    size = F.length("words") / 8
-    facts = cut.agg(F.max(size).alias("longest"), F.collect_set(F.when((size < k) & (size > 0), size.cast("int"))).alias("short")).first()
-    sizes = sorted({k, *facts.short})
-    slack = lambda n: math.ceil(MATCH * (1 - min_score) * n)  # noqa: E731  most words that a pair of the least score adds to an item of n words: each costs 1
-    longest = int(facts.longest or 0)
-    around = longest + slack(longest) + k
-    seeds = saved(cut.select("item_id", F.posexplode("grams").alias("place", "gram")).select("item_id", "gram", "place"), "seeds")
-    small = seeds.count() <= broadcast_rows
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    found = saved(passages(docs, seeds, sizes, around), "passages")
-    hits = found.select("doc_id", "number", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("doc_id", "number", F.col("x.grams").alias("gram"), F.col("x.places").alias("at_word"))
-    met = hits.join(near(seeds), "gram").groupBy("doc_id", "number", "item_id").agg(F.min(F.col("at_word") - F.col("place")).alias("low"), F.max(F.col("at_word") - F.col("place")).alias("high"))
-    same = [F.col("m.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("m.number") == F.col("p.number")]
-    pairs = met.alias("m").join(found.alias("p"), same).select("m.doc_id", "m.item_id", "p.at", "m.low", "m.high", "p.words")
-    pairs = pairs.join(near(cut.select("item_id", F.col("words").alias("item"))), "item_id").select("doc_id", "item_id", "at", "low", "high", "words", "item")
+    if min_score <= 0.5:
+        raise ValueError("seeds are sure for scores over 0.5 only")
+    cut = saved(item_words(items), "items")
+    size = cut.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
+    n_parts = max(1, -(-int(size) // index_rows))
+    found = [_part(docs, cut.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_parts)) == part), min_score) for part in range(n_parts)]
+    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("before"))).alias("x"))
+    return best.select("doc_id", "item_id", F.col("x.score").alias("score"), (-F.col("x.before")).alias("end_word"))
+
+
+def _part(docs: DataFrame, cut: DataFrame, min_score: float) -> DataFrame:
+    """decontaminate() for a part of the items that has a bounded number of words."""
+    rows = cut.collect()
+    ids, words = [r.item_id for r in rows], [np.frombuffer(r.words, "<u8") for r in rows]
+    all_grams = cut.sparkSession.createDataFrame([(int(g),) for w in words for g in signed(_grams(w, 2))] if rows else [], "gram long").distinct()
+    counts = gram_counts(docs, Index(ids, words, None, min_score)).join(F.broadcast(all_grams), "gram", "left_semi")
+    index = docs.sparkSession.sparkContext.broadcast(Index(ids, words, {r.gram: r.n for r in counts.collect()}, min_score))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for at, low, high, words, item in zip(*(batch.column(i) for i in range(2, 7)), strict=True):
-                words, item = np.frombuffer(words.as_py(), "<u8"), np.frombuffer(item.as_py(), "<u8")
-                first = max(0, low.as_py() - slack(len(item)))
-                rows.append((at.as_py() + first, words[first : high.as_py() + len(item) + slack(len(item))], item))
-            order = np.argsort([len(r[1]) for r in rows], kind="stable")  # pairs of like size align together
-            scores, ends = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
-            while len(order):
-                n = 1
-                while n < min(len(order), ALIGN_PAIRS) and (n + 1) * len(rows[order[n]][1]) <= ALIGN_CELLS:
-                    n += 1
-                part, order = order[:n], order[n:]
-                scores[part], end = align([rows[j][2] for j in part], [rows[j][1] for j in part])
-                ends[part] = end + [rows[j][0] for j in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(ends)], ["doc_id", "item_id", "score", "end_word"])
-
-    scored = pairs.mapInArrow(score, "doc_id long, item_id long, score double, end_word long").where(F.col("score") >= min_score)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("before"))).alias("x"))
-    return best.select("doc_id", "item_id", F.col("x.score").alias("score"), (-F.col("x.before")).alias("end_word"))
+        for batch in text_chunks(batches):
+            doc_ids = batch.column(0).cast(pa.int64())
+            text, item, scores, ends = _scores(index.value, Words(*text_bytes(batch.column(1)), lower=True, marks=True))
+            kept = np.flatnonzero(scores >= min_score)
+            item_ids = pa.array([index.value.ids[i] for i in item[kept]], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(text[kept])), item_ids, pa.array(scores[kept]), pa.array(ends[kept])], ["doc_id", "item_id", "score", "end_word"])
+
+    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nestra.llm import decontamination, pii
@@ -21,31 +22,39 @@ def brute_score(item, text):
     return best / (2 * max(1, len(a)))
 
 
+def contaminated(docs, items):
+    """{(doc, item): score} by all pairs; items of 5 words or fewer count as exact copies."""
+    pairs = {(d, i): (s := brute_score(" ".join(w), t)) for d, t in docs.items() for i, w in items.items() if t and w}
+    return {(d, i): s for (d, i), s in pairs.items() if s >= (0.6 if len(items[i]) > 5 else 1)}
+
+
 def test_decontamination_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(400)] + ["the", "of"] * 40
     say = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
-    items = {i: say(int(rng.integers(12, 60))) for i in range(12)} | {20: ["two", "words"], 21: []}
+    items = {i: say(int(rng.integers(6, 60))) for i in range(12)} | {20: ["two", "words"], 21: [], 22: ["the"] * 8, 23: ["alone"]}
     docs = {}
-    for i in range(40):
+    for i in range(60):
         body, own = say(int(rng.integers(20, 400))), list(items[i % 12])
         if i % 3 == 0:
             for _ in range(len(own) // 7):  # edits
                 at = int(rng.integers(len(own)))
                 own[at : at + int(rng.integers(0, 2))] = [f"x{rng.integers(99)}"]
+        if i % 5 == 1:
+            own = [w for j, x in enumerate(own) for w in ([x] if j % (2 + i % 2) else [x, f"y{j}"])]  # a word more after each second or third
+        if i % 5 == 2:
+            own = [x if j % 4 else f"z{j}" for j, x in enumerate(own)]
         if i % 4 != 3:
             body[10:10] = own
         docs[i] = " ".join(body) if i % 2 else ", ".join(w.upper() for w in body)
-    docs |= {50: "Some two, WORDS here", 51: None, 52: "", 53: " ".join(say(3000) + items[3] + say(3000) + items[4])}
+    docs |= {70: "Some two, WORDS here", 71: None, 72: "", 73: "the the the the of the the the the", 74: "all alone", 75: "two other words"}
     df = spark.createDataFrame([(i, t, 1) for i, t in docs.items()], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()] + [(22, None)], "item_id long, text string")
-    expected = {(d, i): s for d, t in docs.items() for i, w in items.items() if t and w and d != 53 and (s := brute_score(" ".join(w), t)) >= 0.5}
-    for rows in (10_000, 0):
-        got = {(r.doc_id, r.item_id): r.score for r in decontamination.decontaminate(df, bench, broadcast_rows=rows).collect()}
-        assert {(53, 3), (53, 4)} <= set(got)
-        got = {k: v for k, v in got.items() if k[0] != 53}
-        assert got == pytest.approx(expected)
-    assert {r.doc_id for r in decontamination.keep_clean(df, bench).collect()} >= {51, 52}
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()] + [(24, None)], "item_id long, text string")
+    expected = contaminated(docs, items)
+    assert {(70, 20), (73, 22), (74, 23)} <= set(expected)
+    for rows in (500_000, 100):
+        assert {(r.doc_id, r.item_id): r.score for r in decontamination.decontaminate(df, bench, index_rows=rows).collect()} == pytest.approx(expected)
+    assert {r.doc_id for r in decontamination.keep_clean(df, bench).collect()} >= {71, 72}
     assert decontamination.decontaminate(df.limit(0), bench).collect() == []
     assert decontamination.decontaminate(df, bench.limit(0)).collect() == []
 
@@ -54,17 +63,53 @@ def test_items_that_many_documents_hold_in_part(spark):
     word = lambda i, n: [f"i{i}w{j}" for j in range(n)]
     third = lambda ws: [w if j % 3 != 2 else f"x{j}" for j, w in enumerate(ws)]
     items = {1: word(1, 20), 2: word(2, 40), 3: word(3, 59), 4: word(4, 30), 5: word(5, 20)}
-    docs = {i: "a b c " + " ".join(items[i % 3 + 1][: (11, 20, 30)[i % 3]]) + f" d{i} e{i}" for i in range(90)}  # a passage that most documents share
+    docs = {i: "a b c " + " ".join(items[i % 3 + 1][: (13, 25, 37)[i % 3]]) + f" d{i} e{i}" for i in range(90)}  # a passage that most documents share
     docs |= {100 + i: "a b c " + " ".join(items[i][:half] + third(items[i][half:])) + " d e" for i, half in ((1, 11), (2, 20), (3, 30))}
-    docs[110] = "q " * 50 + " ".join(f"{w} y{j}" if j < 27 else w for j, w in enumerate(items[4])) + " z" * 50  # all edits before the only seed
+    docs[110] = "q " * 50 + " ".join(f"{w} y{j}" if j < 21 else w for j, w in enumerate(items[4])) + " z" * 50
     docs[111] = "q " * 200 + " ".join(items[5][:4]) + " z" * 100 + " " + " ".join(items[5][:9]) + " z" * 300  # too little of an item, twice
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
-    expected = {(d, i): s for d, t in docs.items() for i, w in items.items() if (s := brute_score(" ".join(w), t)) >= 0.5}
+    expected = contaminated(docs, items)
     assert len(expected) == 94
     assert {(r.doc_id, r.item_id): r.score for r in decontamination.decontaminate(df, bench).collect()} == pytest.approx(expected)
 
 
+def test_a_long_document_full_of_seeds(spark, monkeypatch):
+    """One text of 200,000 words, all of them seeds: it is aligned in blocks, also with few hits held at once."""
+    items = {i: [f"i{i}w{j % 11}" for j in range(20 + 10 * i)] for i in range(3)}
+    tail = " ".join(items[2][:15] + ["x"] + items[2][16:])
+    text = " ".join(f"i0w{j % 7} i1w{j % 5}" for j in range(100_000)) + " " + tail
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    expected = contaminated({1: tail}, items)
+    assert list(expected) == [(1, 2)]
+    rows = decontamination.decontaminate(df, bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == pytest.approx(expected) and len(rows) == 1
+    assert rows[0].end_word == 200_040
+    words = decontamination.Words(*decontamination.text_bytes(pa.array([text])), lower=True, marks=True)
+    hashes = [decontamination.Words(*decontamination.text_bytes(pa.array([" ".join(t)])), lower=True, marks=True).hashes for t in items.values()]
+    index = decontamination.Index(list(items), hashes, {}, 0.6)
+    whole = [x.tolist() for x in index.candidates(words)]
+    monkeypatch.setattr(decontamination, "HITS", 1000)
+    assert [x.tolist() for x in index.candidates(words)] == whole
+
+
+def test_all_pairs_of_the_tables(spark, sf_dir):
+    """The registered query against all pairs of documents and test items."""
+    docs, bench = table(spark, sf_dir, "documents").collect(), table(spark, sf_dir, "benchmark").collect()
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t))
+    texts, items = {r.doc_id: cut(r.text or "") for r in docs}, {r.item_id: cut(r.text or "") for r in bench}
+    code = {w: i + 1 for i, w in enumerate({w for t in [*texts.values(), *items.values()] for w in t})}
+    expected = {}
+    for i, words in items.items():
+        order = sorted((d for d in texts if texts[d]), key=lambda d: len(texts[d]))
+        for at in range(0, len(order), 50):
+            some = order[at : at + 50]
+            scores, _ = decontamination.align([np.array([code[w] for w in words], np.uint64)] * len(some), [np.array([code[w] for w in texts[d]], np.uint64) for d in some])
+            expected |= {(d, i): s for d, s in zip(some, scores, strict=True) if s >= 0.6}
+    assert {(r.doc_id, r.item_id): r.score for r in q.op6_decontamination(spark, sf_dir).collect()} == pytest.approx(expected)
+
+
 def brute_pii(text):
     """The base spans by the patterns as they are stated."""
     found = []
