@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestra.plans.draft import draft, exploded, is_true, pick
+from nestra.plans.draft import by_name, draft, exploded, is_true, pick, preview
 
 ITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -56,9 +56,9 @@ def draft_computed(spark, d):
 
 def customers_nested(spark, d):
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    places = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", F.struct("n_name", F.struct("r_regionkey", "r_name").alias("region")).alias("nation"))
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", F.struct("n_name", F.struct("r_regionkey", "r_name").alias("region")).alias("nation"))
     customer = table(spark, d, "customer")
-    return customer.join(F.broadcast(places), customer.c_nationkey == places.n_nationkey).drop("n_nationkey")
+    return customer.join(places, customer.c_nationkey == places.n_nationkey).drop("n_nationkey")
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -84,8 +84,35 @@ def draft_nested_list(spark, d):
 
 @query("SELECT vec_id, len(embedding) AS n, CAST(floor(list_sum(CAST(embedding AS DOUBLE[])) * 1000 + 0.5) AS BIGINT) AS total_milli, CAST(embedding[1] AS DOUBLE) AS head FROM embeddings")
 def prim_list(spark, d):
-    e = F.col("embedding")
-    return table(spark, d, "embeddings").select("vec_id", F.size(e).cast("long").alias("n"), F.floor(F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double")) * 1000 + 0.5).alias("total_milli"), e[0].cast("double").alias("head"))
+    fold = lambda e: e.reduce(lambda a, x: a + x.cast("double"), 0.0)
+    return draft(table(spark, d, "embeddings"), lambda r: {"vec_id": r.vec_id, "n": r.embedding.size().cast("long"), "total_milli": F.floor(fold(r.embedding) * 1000 + 0.5), "head": r.embedding.at(0).cast("double")})
+
+
+@query("""SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n_positive, CAST(list_sum(list_transform(list_filter(embedding, lambda x: x > 0)[2:5], lambda x: CAST(floor(x * 1000) AS BIGINT))) AS BIGINT) AS milli,
+ len(embedding) AS n_true FROM embeddings""")
+def prim_list_steps(spark, d):
+    positive = lambda e: e.filter(lambda x: x > 0)
+    milli = lambda e: positive(e).slice(1, 5).map(lambda x: F.floor(x * 1000)).reduce(lambda a, x: F.coalesce(a, F.lit(0).cast("long")) + x, F.lit(None).cast("long"))
+    return draft(table(spark, d, "embeddings"), lambda r: {"vec_id": r.vec_id, "n_positive": positive(r.embedding).size().cast("long"), "milli": milli(r.embedding), "n_true": r.embedding.filter(lambda x: x).size().cast("long")})
+
+
+@query("""SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS user, min_by(text, turn) FILTER (role = 'assistant') AS assistant, CAST(NULL AS VARCHAR) AS nobody FROM conversations GROUP BY conv_id""")
+def by_name_lookup(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    found = by_name(F.col("turns"), "user", "assistant", "nobody", key="role", value="text")
+    return turns.select("conv_id", *[v.alias(k) for k, v in found.items()])
+
+
+@query("""SELECT vec_id, array_to_string(list_transform(embedding[1:32], lambda x: CAST(CAST(floor(x * 100) AS BIGINT) AS VARCHAR)), ',') || CASE WHEN len(embedding) > 32 THEN ',(' || (len(embedding) - 32) || ' more elided)' ELSE '' END AS shown FROM embeddings""")
+def list_preview(spark, d):
+    return draft(table(spark, d, "embeddings"), lambda r: {"vec_id": r.vec_id, "shown": F.array_join(preview(r.embedding.map(lambda x: F.floor(x * 100)).lower()), ",")})
+
+
+@query(_N + " SELECT l_orderkey AS o_orderkey, rn, l_partkey AS part, l_returnflag AS flag FROM n")
+def draft_row_struct(spark, d):
+    """Rows of a list with a struct in each."""
+    nested = orders_nested(spark, d).select("o_orderkey", F.transform("items", lambda i: F.struct(i["l_partkey"].alias("part"), F.struct(i["l_returnflag"].alias("flag"), i["l_tax"].alias("tax")).alias("state"))).alias("items"))
+    return exploded(draft(nested, lambda o: {"o_orderkey": o.o_orderkey, "x": o["items"].map(lambda i: {"part": i.part, "flag": i.state.flag})}), "x")
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS which,
@@ -125,6 +152,12 @@ def filter_text_truthy(spark, d):
     return _items(spark, d, lambda x: x.filter(lambda i: is_true(i.l_discount, "double") & is_true(i.l_linestatus, "string")).map(lambda i: {"discount": i.l_discount}))
 
 
+@query(_N + " SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY rn) AS rn, l_partkey AS part FROM n WHERE l_discount <> 0 AND l_linestatus <> ''")
+def filter_any_type(spark, d):
+    """Numbers and texts as predicates: 0, NaN, empty text and null are false."""
+    return _items(spark, d, lambda x: x.filter(lambda i: i.l_discount).filter(lambda i: i.l_linestatus).map(lambda i: {"part": i.l_partkey}))
+
+
 @query(_N + " SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY rn) AS rn, l_quantity AS qty FROM n WHERE l_tax > 0.04")
 def filter_unprojected(spark, d):
     return _items(spark, d, lambda x: x.filter(lambda i: i.l_tax > 0.04).map(lambda i: {"qty": i.l_quantity}))

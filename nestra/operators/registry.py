@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nestra.operators import nested, streams, tables
+from nestra.operators import contracts, nested, streams, tables
 
-MODULES: tuple = (nested, tables, streams)
+MODULES: tuple = (nested, tables, contracts, streams)
 
 
 def queries() -> dict:

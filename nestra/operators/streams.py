@@ -38,10 +38,16 @@ def stream_route(spark, d):
 
 @query("SELECT event_type AS method, count(*) AS calls, count(*) FILTER (value > 100) AS errors, min(value) AS min_ms, max(value) AS max_ms FROM events GROUP BY event_type")
 def stream_call_totals(spark, d):
-    return replay.latest(replay.call_totals(stream(spark, d, "events"), "event_type", "value", 100))
+    return replay.latest(replay.call_totals(stream(spark, d, "events"), "event_type", "value", 100), ["method"])
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS begin, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, d):
-    counted = replay.latest(replay.windowed(stream(spark, d, "events"), "ts", "event_type", "1 hour", "1 day"))
+    counted = replay.latest(replay.windowed(stream(spark, d, "events"), "ts", "event_type", "1 hour", "1 day"), ["begin", "event_type"])
     return counted.select(F.date_format("begin", "yyyy-MM-dd HH").alias("begin"), "event_type", "n")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS message_id FROM conversations")
+def stream_ids(spark, d):
+    """Ids without gaps; the given table comes in one batch."""
+    return replay.with_ids(stream(spark, d, "conversations").select("conv_id", "turn"), ["conv_id", "turn"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nestra.functions.scalars import masked_url, retryable, snake_case
 from nestra.operators.nested import table
 from nestra.plans import contract
+from nestra.sources.shared import numbered
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,12 +73,11 @@ def dominant_first_seen(spark, d):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(floor(count(*) * 0.5) AS INT) + 1] AS median, list_sort(list(value))[CAST(floor(count(*) * 0.9) AS INT) + 1] AS p90 FROM events GROUP BY event_type")
 def index_percentiles(spark, d):
-    # Ranks by range-sorted positions would scale further; five types are ranked within windows over their own rows.
-    events = table(spark, d, "events")
-    ranked = events.select("event_type", "value", (F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).alias("at"))
-    sizes = events.groupBy("event_type").agg(F.count("*").alias("n"))
-    placed = ranked.join(F.broadcast(sizes), "event_type")
-    return placed.groupBy("event_type").agg(F.max(F.when(F.col("at") == F.floor(F.col("n") * 0.5), F.col("value"))).alias("median"), F.max(F.when(F.col("at") == F.floor(F.col("n") * 0.9), F.col("value"))).alias("p90"))
+    ranked = numbered(table(spark, d, "events").select("event_type", "value"), "at", ["value"], ["event_type"])
+    sizes = ranked.groupBy("event_type").agg(F.count("*").alias("n"))
+    placed = ranked.join(sizes, "event_type").where((F.col("at") == F.floor(F.col("n") * 0.5)) | (F.col("at") == F.floor(F.col("n") * 0.9)))
+    at = lambda q: F.max(F.when(F.col("at") == F.floor(F.col("n") * q), F.col("value")))
+    return placed.groupBy("event_type").agg(at(0.5).alias("median"), at(0.9).alias("p90"))
 
 
 @query("""SELECT coalesce(a.n_name, b.n_name) AS name, CASE WHEN b.n_name IS NULL THEN 'removed' WHEN a.n_name IS NULL THEN 'added' WHEN a.n_regionkey <> b.n_regionkey THEN 'changed' ELSE 'same' END AS change

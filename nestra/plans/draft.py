@@ -1,10 +1,14 @@
 """Recorded projections over nested rows: a callback says what is wanted, the plan reads only that.
 
 `draft(df, fn)` calls fn once with a recorder of the row. Struct fields are
-attributes; a list of structs has map, filter, slice and reduce. What the
-callbacks touch is recorded first, and lists are then rebuilt from only those
-leaves, so that the scan reads no other field of the list's elements (a lambda
-over the whole element would read them all).
+attributes; a list has map, filter, slice and reduce. What the callbacks touch
+of structs in a list is recorded first, and lists are then rebuilt from only
+those leaves, so that the scan reads no other field of the list's elements (a
+lambda over the whole element would read them all).
+
+A filter keeps the elements whose answer is true by the scripting rule, whatever
+its type; the type is that of the callback's answer over typed nulls. An answer
+that also uses what lies outside of the list must be a boolean.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from nestra.functions.scalars import truthy
@@ -61,10 +66,10 @@ class Struct:
 
 @dataclass(frozen=True)
 class List:
-    """A list of structs with steps to apply, in the order in which they are written."""
+    """A list with steps to apply, in the order in which they are written; its elements may be structs, lists or plain values."""
 
     column: Column
-    kind: T.StructType
+    kind: T.DataType
     steps: tuple[tuple, ...] = ()
 
     def map(self, fn: Callable) -> List:
@@ -90,30 +95,40 @@ class List:
     def size(self) -> Column:
         return F.size(self.lower())
 
+    def at(self, place: int):
+        """The element at a place from 0; null if there is none."""
+        if any(step[0] == "map" for step in self.steps):
+            return F.get(self.lower(), F.lit(place))
+        return wrap(F.get(self.lower(), F.lit(place)), self.kind)
+
     def lower(self) -> Column:
         return self._lowered()[0]
 
     def _lowered(self, extra: Callable | None = None) -> tuple[Column, Callable]:
         used: dict[str, None] = {}
-        spy, mapped = _Spy(self.kind, used), False
+        structs = isinstance(self.kind, T.StructType)
+        spy = _Spy(self.kind, used) if structs else wrap(F.lit(None).cast(self.kind), self.kind)
+        mapped, kinds = False, []
         for step in self.steps:
+            kinds.append(None)
             if step[0] != "slice" and not mapped:
-                step[1](spy)
+                answer = step[1](spy)
                 mapped = step[0] == "map"
+                kinds[-1] = None if mapped else _kind_of(answer)
         if extra and not mapped:
             extra(spy)
         whole = not mapped and not extra  # elements come out as they are
         if whole or not used:
-            array, element = self.column, lambda x: Struct(x, self.kind)
+            array, element = self.column, lambda x: wrap(x, self.kind)
         elif len(used) == 1:
             name = next(iter(used))
             array, element = self.column[name], lambda x: Struct(x, self.kind, single=name)
         else:
             array = F.arrays_zip(*[self.column[n].alias(n) for n in used])
             element = lambda x: Struct(x, self.kind)
-        for step in self.steps:
+        for step, kind in zip(self.steps, kinds, strict=True):
             if step[0] == "filter":
-                array = F.filter(array, _of_element(step[1], element, _test))
+                array = F.filter(array, _of_element(step[1], element, lambda v, kind=kind: _test(v, kind)))
             elif step[0] == "map":
                 array = F.transform(array, _of_element(step[1], element, output))
                 element = _Plain
@@ -122,6 +137,16 @@ class List:
         return array, element
 
 
+def _kind_of(value) -> T.DataType | None:
+    """The type of a callback's answer over typed nulls; None where it also uses other columns."""
+    if not isinstance(value, Column):
+        return None
+    try:
+        return SparkSession.active().range(0).select(value.alias("x")).schema["x"].dataType
+    except AnalysisException:
+        return None
+
+
 def _Plain(x: Column):
     return x
 
@@ -152,8 +177,12 @@ def is_true(value, kind: str) -> Column:
     return truthy(value, T._parse_datatype_string(kind))
 
 
-def _test(value) -> Column:
-    return F.coalesce(value.lower() if isinstance(value, List) else value, F.lit(False))
+def _test(value, kind: T.DataType | None) -> Column:
+    if isinstance(value, (List, Struct)):
+        return output(value).isNotNull()
+    if not isinstance(value, Column):
+        return F.lit(bool(value))
+    return truthy(value, kind or T.BooleanType())
 
 
 def _sliced(array: Column, start: int, end: int | None) -> Column:
@@ -166,7 +195,7 @@ def _sliced(array: Column, start: int, end: int | None) -> Column:
 def wrap(column: Column, kind: T.DataType):
     if isinstance(kind, T.StructType):
         return Struct(column, kind)
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+    if isinstance(kind, T.ArrayType):
         return List(column, kind.elementType)
     return column
 
@@ -192,6 +221,24 @@ def draft(df: DataFrame, fn: Callable) -> DataFrame:
     return df.select(output(answer).alias("value"))
 
 
+#: Names that one look-up may ask for.
+MOST_NAMES = 256
+
+
+def by_name(pairs: Column, *names: str, key: str = "key", value: str = "value") -> dict[str, Column]:
+    """{name: value} of a list of structs with a key and a value: the first with the name counts, null if there is none."""
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"at most {MOST_NAMES} names")
+    named = lambda name: F.filter(pairs, lambda p: p[key] == name)
+    return {n: F.get(named(n), F.lit(0))[value] for n in names}
+
+
+def preview(array: Column, most: int = 32) -> Column:
+    """The first elements of a list as text, and how many more there are."""
+    shown, more = F.slice(array, 1, most).cast("array<string>"), F.size(array) - most
+    return F.when(more > 0, F.concat(shown, F.array(F.concat(F.lit("("), more.cast("string"), F.lit(" more elided)"))))).otherwise(shown)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named fields, in the order asked for; an unknown one is an error."""
     if missing := [n for n in names if n not in df.columns]:
