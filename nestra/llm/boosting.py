@@ -62,10 +62,10 @@ def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 40, depth: int = 3, rate: f
     return Trees(prior, features, edges, leaves)
 
 
-def calibrated_threshold(p: np.ndarray, y: np.ndarray, precision: float, default: float) -> float:
-    """The least threshold, not under `default`, from which the held-out precision reaches `precision`."""
-    for t in np.unique(np.append(p[p >= default], default)):
-        chosen = p >= t
-        if not chosen.any() or y[chosen].mean() >= precision:
-            return float(t)
-    return 1.0
+def calibrated_threshold(p: np.ndarray, y: np.ndarray, precision: float, least: int, floor: float = 0.0) -> float:
+    """The least threshold, not under `floor`, from which at least `least` held-out candidates have that precision; above 1, so that none is chosen, if there is no such."""
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
+    last = np.r_[p[order][1:] != p[order][:-1], True] if len(p) else np.zeros(0, bool)  # candidates of one probability are chosen together
+    good = np.flatnonzero((right >= precision) & last & (np.arange(1, len(p) + 1) >= least))
+    return max(floor, float(p[order][good[-1]])) if len(good) else 2.0

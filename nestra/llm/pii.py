@@ -3,20 +3,24 @@
 Base spans are those of exact formats: email, ip, card (with its check digit)
 and phone, leftmost and not overlapping within a kind; they always stay. Wider
 generators add candidates, also overlapping ones: written-out addresses
-(`name (at) host (dot) org`), phone numbers without a plus sign, addresses of
-eight groups. Trees over the format and the words around give each candidate a
-probability; the threshold of each kind is the least that is precise enough on
-candidates held out from training. Of added spans that overlap, the likelier
+(`name (at) host (dot) org`), phone numbers without a plus sign, long addresses
+with colons, and secrets (values that are assigned to a name, and long mixed
+runs). Trees over the format and the words around give each candidate a
+probability; the threshold of each kind is the least from which candidates held
+out from training are precise enough. Of added spans that overlap, the likelier
 stays; none overlaps a base span.
 
-The trees are fitted on a bounded sample of candidates of the corpus, whose
-labels come from the formats' own checks, and on written examples of the forms
-that have no check.
+The trees learn from texts of the corpus, a bounded sample, into which written
+forms are put at random places: personal data and secrets, with and without a
+word that tells of them, and look-alikes (order numbers, hashes, times, versions,
+parts). So the label is what was put in, not the answer of a format's check, which
+is no feature either. What such texts hold of themselves has no label and does not
+count. A third of the texts is held out for the thresholds.
 
 Cases: a null text is empty and has no span. Empty tables give no rows; with no
-candidates at all the written examples train alone. No pattern backtracks over
-more than it consumes, so very long texts and runs are safe. Repeated rows get
-equal answers. Only doc_id and text are read.
+text in the corpus the forms stand alone. No pattern backtracks over more than it
+consumes, or over 200 characters, so very long texts and runs are safe. Repeated
+rows get equal answers. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,10 +38,11 @@ from pyspark.sql import functions as F
 
 from nestra.llm import boosting
 
-KINDS = ("email", "ip", "card", "phone")
-#: Documents whose candidates train the trees, as an expected number.
-SAMPLE_DOCS = 2000
-PRECISION, LEAST_PROBABILITY = 0.98, 0.9
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Documents into which forms are put to train the trees, as an expected number, and forms in each.
+SAMPLE_DOCS, FORMS_EACH = 2000, 8
+#: What the added spans of each kind must reach on held-out candidates, how many of these there must be, and the least probability.
+PRECISION, LEAST_HELD, LEAST_PROBABILITY = 0.98, 25, 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,7 +54,9 @@ _DIGITS = re.compile(r"[0-9]")
 _WRITTEN = re.compile(r"\x20?(?:\(at\)|\[at\]|\bat\b)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\bdot\b)\x20?[A-Za-z0-9-]{2,24})+")
 _NATIONAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])")
 _DOUBLE_ZERO = re.compile(r"(?<![0-9])00[1-9][0-9]?[\x20-][0-9\x20-]{6,16}[0-9](?![0-9])")
-_GROUPS = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+_GROUPS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_ASSIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]{1,40}[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_+/.=~!@#$%^&*-]{8,200})(?![A-Za-z0-9_+/.=~!@#$%^&*-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,200}(?![A-Za-z0-9_+/=-])")
 
 
 def luhn(digits: str) -> bool:
@@ -84,101 +91,162 @@ def _ip_valid(s: str) -> bool:
     return all(len(x) < 4 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in s.split(".")))
 
 
-def proposals(text: str) -> Iterator[tuple[str, int, int, bool, int]]:
-    """(kind, start, end, base, label) of all candidates; label: 1 or 0 by a format's check, -1 if it has none."""
+def _base(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text:
         for a, b in _emails(text):
-            yield "email", a, b, True, 1
-    if "dot" in text:
-        floor = 0
-        for m in _WRITTEN.finditer(text):
-            start = _before(text, m.start(), floor)
-            if start < m.start():
-                floor = m.end()
-                yield "email", start, floor, False, -1
-    if ":" in text:
-        for m in _GROUPS.finditer(text):
-            yield "ip", *m.span(), False, -1
+            yield "email", a, b
     if not _DIGITS.search(text):
         return
     for m in _IP.finditer(text):
-        valid = _ip_valid(m[0])
-        yield "ip", *m.span(), valid, int(valid)
+        if _ip_valid(m[0]):
+            yield "ip", *m.span()
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = _digits(m[0])
-            if 14 <= len(digits) <= 19:
-                valid = luhn(digits)
-                yield "card", *m.span(), valid, int(valid)
+            if 14 <= len(digits) <= 19 and luhn(digits):
+                yield "card", *m.span()
     if "+" in text:
         for m in _PHONE.finditer(text):
-            valid = 10 <= len(_digits(m[0])) <= 15
-            yield "phone", *m.span(), valid, int(valid)
-    for pattern in (_NATIONAL, _DOUBLE_ZERO):
-        for m in pattern.finditer(text):
-            yield "phone", *m.span(), False, -1
+            if 10 <= len(_digits(m[0])) <= 15:
+                yield "phone", *m.span()
 
 
-#: Words that speak of a kind, by the start of a word.
+def _wider(text: str) -> Iterator[tuple[str, int, int]]:
+    if "dot" in text:
+        floor = 0
+        for m in _WRITTEN.finditer(text):
+            start = _before(text, m.start(), floor)
+            if start < m.start():
+                floor = m.end()
+                yield "email", start, floor
+    if ":" in text or "=" in text:
+        for m in _GROUPS.finditer(text):
+            yield "ip", *m.span()
+        for m in _ASSIGNED.finditer(text):
+            yield "secret", *m.span(1)
+    for m in _RUN.finditer(text):
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            yield "secret", *m.span()
+    if _DIGITS.search(text):
+        for pattern in (_NATIONAL, _DOUBLE_ZERO):
+            for m in pattern.finditer(text):
+                yield "phone", *m.span()
+
+
+def proposals(text: str) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, base) of all candidates, each span of a kind once."""
+    base = list(_base(text))
+    known = set(base)
+    return [(*c, True) for c in base] + [(*c, False) for c in dict.fromkeys(_wider(text)) if c not in known]
+
+
+#: Starts of words that speak of a kind, and of those that speak of something else.
 _SPEAKS = {
-    "email": ("mail", "e-mail", "email", "contact", "write"),
-    "ip": ("ip", "host", "server", "address", "from"),
+    "email": ("mail", "e-mail", "email", "contact", "write", "reach"),
+    "ip": ("ip", "host", "server", "address", "from", "login", "client"),
     "card": ("card", "visa", "credit", "pay"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "contact"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "contact", "dial", "text"),
+    "secret": ("token", "secret", "key", "password", "passwd", "pwd", "auth", "bearer", "credential", "api"),
 }
+_SPEAKS_NOT = ("part", "order", "invoice", "version", "serial", "sku", "isbn", "sum", "total", "values", "table", "row", "item", "hash", "sha", "md", "commit", "checksum", "etag", "digest", "uuid", "id", "time", "date", "ratio", "score", "path", "color", "name", "file", "build")
+_WORD = re.compile(r"[A-Za-z]+")
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Of the format of a span, and of the 40 characters on each side."""
+    """Of the format of a span, and of the 40 characters on each side; no check of a format is among them."""
     span = text[start:end]
-    left, right = text[max(0, start - 40) : start].lower(), text[end : end + 40].lower()
-    digits = _digits(span)
-    near = re.findall(r"[a-z-]+", left + " " + right)
+    left, right = text[max(0, start - 40) : start], text[end : end + 40]
+    digits, short = _digits(span), span[:200]
+    near = [w.lower() for w in _WORD.findall(left)[-4:] + _WORD.findall(right)[:2]]
+    last = near[len(_WORD.findall(left)[-4:]) - 1] if _WORD.search(left) else ""
     parts = re.findall(r"[0-9]+", span)
+    seen = np.unique(list(short), return_counts=True)[1] / max(1, len(short))
+    told = lambda words, starts: float(sum(any(w.startswith(s) for s in starts) for w in words))
     return [
         float(KINDS.index(kind)),
         float(min(len(span), 200)),
         float(min(len(digits), 60)),
         float(len(digits) / max(1, len(span))),
-        float(sum(not c.isalnum() for c in span[:200])),
+        float(sum(not c.isalnum() for c in short)),
         float(span.count(".")),
         float(span.count("-") + span.count(" ")),
-        float(span.startswith("+") or span.startswith("00")),
-        float("(at)" in span or "[at]" in span or "@" in span),
-        float("dot" in span),
+        float(span.startswith("00")),
+        float("(at)" in span or "[at]" in span),
+        float("(dot)" in span or "[dot]" in span),
+        float(span.startswith("(")),
         float(span.count(":")),
         float(len(parts)),
         float(max((len(p) for p in parts), default=0)),
-        float(kind == "card" and 14 <= len(digits) <= 19 and luhn(digits)),
-        float(kind == "ip" and "." in span and _ip_valid(span)),
         float(10 <= len(digits) <= 15),
-        float(sum(any(w.startswith(s) for s in _SPEAKS[kind]) for w in near)),
+        float(-(seen * np.log2(seen)).sum()) if len(short) else 0.0,
+        float(any(c.isupper() for c in short)) + float(any(c.islower() for c in short)),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]+", short))),
+        told(near, _SPEAKS[kind]),
+        told([last], _SPEAKS[kind]),
+        told(near, _SPEAKS_NOT),
+        told([last], _SPEAKS_NOT),
+        float(left.rstrip("\"' ")[-1:] in ("=", ":")),
+        float(left[-1:] in ("\"", "'")),
         float(left[-1:].isalnum()),
         float(right[:1].isalnum()),
         float(sum(c.isdigit() for c in left + right)),
     ]
 
 
-def written_examples(seed: int = 7, n: int = 60) -> tuple[list, list]:
-    """(features, labels) of forms that no check decides, in made-up sentences."""
-    rng = np.random.default_rng(seed)
+def _forms(rng: np.random.Generator) -> tuple[str, str, str, int]:
+    """(text before, form, kind, label): personal data or a secret, or what looks like it, as it may be written."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
     number = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(3, 9))))
-    rows = []
+    mixed = lambda letters, low, high: "".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(low, high))))
+    hexa, full = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    local = pick(word(), f"{word()}.{word()}", f"{word()}{number(2)}")
+    at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), ("at", "dot"))
+    gap = pick(" ", "") if at != "at" else " "
+    phone = pick(f"{number(3)}-{number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"{number(4)} {number(3)} {number(3)}", f"00{pick('44', '49', '33', '1')} {number(3)} {number(6)}")
+    groups = ":".join(f"{int(x):x}" for x in rng.integers(1, 65535, 8))
+    cut = ":".join(f"{int(x):x}" for x in rng.integers(4096, 65535, 3)) + "::" + f"{int(rng.integers(1, 65535)):x}"
+    value = pick(mixed(hexa, 20, 65), mixed(full, 16, 48), mixed(full + "_-", 20, 44), mixed(full + "!#%", 9, 20))
+    quote = pick('"', "'", "")
+    which = int(rng.integers(12))
+    if which == 0:
+        return pick("mail me: ", "contact ", "email ", "write to ", "reach us ", ""), f"{local}{gap}{at}{gap}{word()}{gap}{dot}{gap}{pick('com', 'org', 'net', 'de', 'fr')}", "email", 1
+    if which == 1:
+        return pick("look ", "the ", "we stood "), f"{pick('point', 'stone', word())} at {pick('this', 'every', word())} dot {pick('and', 'then', 'product', word())}", "email", 0
+    if which in (2, 3):
+        return pick("call ", "phone ", "tel. ", "mobile: ", "fax ", "dial ", "text me on "), phone, "phone", 1
+    if which == 4:
+        return pick("part ", "order no. ", "invoice ", "serial ", "isbn ", "sku ", "values ", "the sum of "), phone, "phone", 0
+    if which == 5:
+        return pick("of ", "about ", "with "), f"{number(3)} {number(3)} {number(3)}", "phone", 0
+    if which == 6:
+        return pick("server ", "host ", "from ", "client ", "address ", "login by ", ""), pick(groups, cut), "ip", 1
+    if which == 7:
+        return pick("at ", "time ", "ratio ", "lasted ", ""), pick(f"{number(2)}:{number(2)}:{number(2)}", ":".join(number(1) for _ in range(4)), ":".join(number(2) for _ in range(8))), "ip", 0
+    if which in (8, 9):
+        name = pick("token", "secret", "api_key", "password", "access_key", "auth", "client_secret", "passwd", "API-KEY", "private_key", "apiToken")
+        return name + pick(" = ", "=", ": ", ":") + quote, value, "secret", 1
+    if which == 10:
+        name = pick("hash", "sha1", "md5", "commit", "checksum", "etag", "digest", "uuid", "id", "color", "path", "version", "file", "build", "name")
+        return name + pick(" = ", "=", ": ", ":", " ") + quote, pick(mixed(hexa, 32, 65), f"{mixed(hexa, 8, 9)}-{mixed(hexa, 4, 5)}-{mixed(hexa, 4, 5)}-{mixed(hexa, 12, 13)}", f"/usr/{word()}/{word()}/{word()}{number(1)}.so", f"{number(1)}.{number(2)}.{number(1)}-{word()}"), "secret", 0
+    return pick("see ", "the ", ""), pick(f"{word()}_{word()}_{word()}_{word()}{number(1)}", f"{word()}-{word()}-{word()}-{word()}-{number(2)}", f"https-{word()}/{word()}/{word()}/{number(4)}"), "secret", 0
+
+
+def examples(text: str, seed: int, n: int = FORMS_EACH) -> Iterator[tuple[list[float], int]]:
+    """(features, label) of candidates that overlap one of n forms put between the words of a text."""
+    rng = np.random.default_rng(seed)
+    gaps = [m.start() for m in re.finditer(" ", text[:100_000])] or [len(text[:100_000])]
     for _ in range(n):
-        rows += [
-            (f"mail me: {word()} (at) {word()} (dot) org now", 1), (f"contact {word()}[at]{word()}[dot]com please", 1), (f"email {word()} at {word()} dot net", 1),
-            (f"the {word()} at {word()} dot {word()} and so", 0), (f"look at {word()} dot {word()}", 0),
-            (f"call {number(3)}-{number(3)}-{number(4)} today", 1), (f"phone ({number(3)}) {number(3)}-{number(4)}.", 1), (f"tel 0044 {number(3)} {number(6)} now", 1),
-            (f"part {number(3)}-{number(3)}-{number(4)} in {word()}", 0), (f"the {number(4)}.{number(3)}.{number(3)} of", 0), (f"values {number(3)} {number(3)} {number(3)} and {number(4)}", 0),
-            ("server " + ":".join(f"{int(x):x}" for x in rng.integers(1, 65535, 8)) + " is", 1), ("at " + ":".join(number(2) for _ in range(8)) + " we", 0),
-        ]
-    x, y = [], []
-    for text, label in rows:
-        for kind, a, b, _, own in proposals(text):
-            x.append(features(text, kind, a, b))
-            y.append(label if own < 0 else own)
-    return x, y
+        before, form, kind, label = _forms(rng)
+        at = gaps[int(rng.integers(len(gaps)))]
+        close = before[-1:] if before[-1:] in ("\"", "'") else ""
+        left, right = text[max(0, at - 200) : at] + " " + before, close + " " + text[at + 1 : at + 200]
+        whole = left + form + right
+        start, end = len(left), len(left) + len(form)
+        for k, a, b, _ in proposals(whole):
+            if k == kind and a < end and b > start:
+                # A span that takes in more than the form, or less than most of it, is none.
+                yield features(whole, k, a, b), int(label and a >= start - 1 and b <= end + 1 and 10 * (min(b, end) - max(a, start)) >= 9 * (end - start))
 
 
 @dataclass(frozen=True)
@@ -188,34 +256,35 @@ class Model:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Trees and thresholds from the candidates of about `sample_docs` documents, chosen by a hash of the text."""
+    """Trees and thresholds from forms put into about `sample_docs` documents, chosen by a hash of the text."""
     n = docs.count()
     share = min(1.0, sample_docs / max(1, n))
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 20)) < share * (1 << 20)).distinct()
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 20)) < share * (1 << 20)).distinct().select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("seed"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(features(t, kind, a, b), label) for t in batch.column(0).to_pylist() if t for kind, a, b, _, label in proposals(t) if label >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], ["x", "y"])
+            rows = [(x, y, seed) for t, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x, y in examples(t or "", seed)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["x", "y", "seed"])
+
+    rows = sorted((r.seed, tuple(r.x), r.y) for r in sample.mapInArrow(learn, "x array<double>, y int, seed long").collect())
+    rows += [(seed, tuple(x), y) for seed in range(max(0, 150 - len({r[0] for r in rows}))) for x, y in examples("", seed)]  # forms alone, where texts are few
+    return learned(rows)
+
 
-    rows = sorted((tuple(r.x), r.y) for r in sample.mapInArrow(learn, "x array<double>, y int").collect())
-    x, y = written_examples()
-    x, y = np.array(x + [list(r[0]) for r in rows]), np.array(y + [r[1] for r in rows], float)
-    held = np.arange(len(x)) % 3 == 2
+def learned(rows: list[tuple]) -> Model:
+    """The model of (seed, features, label): seeds that 3 divides are held out."""
+    held = np.array([r[0] % 3 == 0 for r in rows])
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
     trees = boosting.fit(x[~held], y[~held])
     p = trees.probability(x[held])
     own = [(x[held][:, 0] == i) for i in range(len(KINDS))]
-    return Model(trees, {k: boosting.calibrated_threshold(p[own[i]], y[held][own[i]], PRECISION, LEAST_PROBABILITY) for i, k in enumerate(KINDS)})
+    return Model(trees, {k: boosting.calibrated_threshold(p[own[i]], y[held][own[i]], PRECISION, LEAST_HELD, LEAST_PROBABILITY) for i, k in enumerate(KINDS)})
 
 
 def spans_of(text: str, model: Model) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) of all chosen spans, by start and kind."""
-    base, more = [], []
-    for kind, a, b, is_base, label in proposals(text):
-        if is_base:
-            base.append((kind, a, b, True))
-        elif label < 0:
-            more.append((kind, a, b))
+    found = proposals(text)
+    base, more = [c for c in found if c[3]], [c[:3] for c in found if not c[3]]
     if more:
         p = model.trees.probability(np.array([features(text, *c) for c in more]))
         chosen = sorted((-q, c) for q, c in zip(p, more, strict=True) if q >= model.thresholds[c[0]])

@@ -49,8 +49,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, pii.fit(docs)).withColumn("base", F.filter("spans", lambda s: s["base"]))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(kind) for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+    counts = [count(kind) for kind in pii.KINDS if kind != "secret"]
+    sums = [F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans")]
+    return found.select("doc_id", *counts, *sums, F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
