@@ -22,7 +22,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filter.filter_urls(pages, url_filter.listed_urls(pages)).drop("listed")
 
 
@@ -110,16 +110,16 @@ FROM judged
 
 _SQL_URL = r"""
 WITH parsed AS (
-  SELECT page_id,
+  SELECT page_id, regexp_extract(html, '<footer>&copy; ([^ <]*)', 1) AS credit,
          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
   FROM pages
 ), cut AS (
-  SELECT page_id,
+  SELECT page_id, credit,
          translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM parsed
 ), judged AS (
-  SELECT page_id, host, path,
+  SELECT page_id, host, path, credit,
          CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
               WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
@@ -130,7 +130,7 @@ WITH parsed AS (
   FROM cut
 ), listed AS (
   SELECT DISTINCT canonical FROM judged
-  WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills']) AND canonical IS NOT NULL
+  WHERE list_has_any(string_split(credit, '.'), ['spam-farm', 'cheap-pills', 'casino-win', 'free-bets']) AND canonical IS NOT NULL
 )
 SELECT j.page_id, j.host, j.path, j.rule,
        CASE WHEN j.rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'

@@ -1,7 +1,9 @@
 """URL filters: host and path rules, then a blocked Bloom filter before an exact hash join.
 
 DataFrame functions only. The filter has a fixed greatest size, so broadcasting
-it is safe at any size of the list; what it wrongly passes, the join removes.
+it is safe at any size of the list. Pages that it does not pass are judged where
+they are; only possible hits are dealt to the exact join, which removes what was
+wrongly passed. The list is saved once and read three times.
 
 Cases: a null url, or one without `://`, has an empty host and path, fits no
 rule, has a null canonical form and is allowed. Repeated pages each get their
@@ -13,10 +15,14 @@ nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nestra.llm.common import saved
+
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,8 +47,8 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Hosts of the registered query whose pages make up its list.
-LISTED_HOSTS = ("spam-farm", "cheap-pills")
+#: Publishers of the registered query: pages whose footer credits one of them make up its list.
+PUBLISHERS = ("spam-farm", "cheap-pills", "casino-win", "free-bets")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -94,25 +100,21 @@ class BlockedBloom:
         rows = listed.select(block.alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)])
         return cls(rows.groupBy("block").agg(*[F.bit_or(w).alias(f"w{i}") for i, w in enumerate(words)]), n_blocks)
 
-    def possible(self, df: DataFrame, key: str) -> DataFrame:
-        """The rows of df whose key may be in the list: all that are, and few others."""
+    def tested(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with a boolean: whether the key may be in the list. It is so for all that are, and few others; false for a null key."""
         block, bits = self._slots(F.col(key), self.n_blocks)
-        joined = df.withColumn("__block", block).join(F.broadcast(self.blocks), F.col("__block") == F.col("block"))
-        for i, bit in enumerate(bits):
-            joined = joined.where(F.getbit(F.col(f"w{i}"), bit) == 1)
-        return joined.select(df.columns)
+        rows = self.blocks.select(F.col("block").alias("__block"), *[F.col(f"w{i}").alias(f"__w{i}") for i in range(8)])
+        joined = df.join(F.broadcast(rows), block == F.col("__block"), "left")
+        passed = reduce(and_, [F.getbit(F.col(f"__w{i}"), bit) == 1 for i, bit in enumerate(bits)], F.col(key).isNotNull())
+        return joined.select(*df.columns, F.coalesce(passed, F.lit(False)).alias(name))
 
 
-def listed_urls(pages: DataFrame, hosts: tuple[str, ...] = LISTED_HOSTS) -> DataFrame:
-    """Distinct canonical urls of pages on hosts that have one of `hosts` as a label: (canonical)."""
+def listed_urls(pages: DataFrame, publishers: tuple[str, ...] = PUBLISHERS) -> DataFrame:
+    """Distinct canonical urls of the pages (url, html) whose footer credits a host with one of the publishers as a label: (canonical)."""
     host, path = parts(F.col("url"))
-    labels = F.split(host, r"\.")
-    return (
-        pages.select(canonical(host, path).alias("canonical"), labels.alias("labels"))
-        .where(F.arrays_overlap("labels", F.array(*[F.lit(h) for h in hosts])) & F.col("canonical").isNotNull())
-        .select("canonical")
-        .distinct()
-    )
+    credit = F.regexp_extract("html", r"<footer>&copy; ([^ <]*)", 1)
+    named = F.arrays_overlap(F.split(credit, r"\."), F.array(*[F.lit(x) for x in publishers]))
+    return pages.where(named).select(canonical(host, path).alias("canonical")).where(F.col("canonical").isNotNull()).distinct()
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, bloom: BlockedBloom | None = None) -> DataFrame:
@@ -125,11 +127,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = R
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parsed.select("page_id", "host", "path", name.alias("rule"), verdict.alias("by_rule"), canonical(F.col("host"), F.col("path")).alias("canonical"))
+    listed = saved(listed.select("canonical"), "listed")
     bloom = bloom or BlockedBloom.build(listed, "canonical")
-
+    tested = bloom.tested(judged, "canonical", "possible")
     # Pages that a rule judges, or without a canonical form, need no look-up.
-    open_ = judged.where(F.col("by_rule").isNull() & F.col("canonical").isNotNull())
-    hits = bloom.possible(open_, "canonical").select("canonical").distinct().join(listed, "canonical", "left_semi")
-    return judged.join(hits.withColumn("hit", F.lit(True)), "canonical", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"), F.coalesce("hit", F.lit(False)).alias("listed")
-    )
+    asked = F.col("possible") & F.col("by_rule").isNull()
+    hits = tested.where(asked).join(listed.withColumn("hit", F.lit(True)), "canonical", "left")
+    both = hits.unionByName(tested.where(~asked).withColumn("hit", F.lit(None).cast("boolean")))
+    return both.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"), F.coalesce("hit", F.lit(False)).alias("listed"))
