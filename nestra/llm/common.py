@@ -64,6 +64,20 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def put_in_place(fs, draft: str, path: str) -> None:
+    """Gives a whole file its name. A task that runs again finds it there, with the same bytes, and leaves it."""
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(path).type == FileType.NotFound:
+        try:
+            fs.move(draft, path)
+            return
+        except OSError:  # another run of the task was faster
+            if fs.get_file_info(path).type == FileType.NotFound:
+                raise
+    fs.delete_file(draft)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows, so that the column `text` has about `limit` bytes in each."""
     for batch in batches:

@@ -12,7 +12,8 @@ token counts, the heaviest (by the square of piece lengths) to the lightest
 group.
 
 Cases: a null text is empty and has one token, the closing id. Repeated rows
-are packed once each. An empty table gives no pieces. Only doc_id and text are
+are packed once each. An empty table gives no pieces. A text of any length is
+encoded whole and cut into full windows as it comes. Only doc_id and text are
 read. Ids of sequences and groups are unique; which documents share a sequence
 depends on how the input files are split, while a task that is run again over
 the same split gives the same rows.

@@ -9,6 +9,8 @@ of a file, and joined. So one huge file is no single task's work.
 Cases: an empty document (or null text) is a separator alone and counts 0. Ids
 after a file's last separator are a document that is not closed. An empty
 folder gives no rows. Files whose size is no multiple of the width are refused.
+A text of any length is encoded whole and written at once; repeated rows count
+each. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nestra.llm import token_ids
-from nestra.llm.common import filesystem, saved, scratch
+from nestra.llm.common import filesystem, put_in_place, saved, scratch
 
 END_ID = 50256
 BLOCK_BYTES = 4 << 20
@@ -55,7 +57,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64())], ["doc_id", "file", "ordinal"])
                 ordinal += n
-        fs.move(draft, f"{root}/{name}")
+        put_in_place(fs, draft, f"{root}/{name}")
 
     return saved(docs.select("doc_id", "text").mapInArrow(write, "doc_id long, file string, ordinal long"), "token-places")
 

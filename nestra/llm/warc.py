@@ -13,9 +13,11 @@ nested row.
 
 Cases: null html is an empty payload; a null url or page_id has no header and
 comes back null. Rows that repeat a page_id are captures of their own, and if
-their payloads repeat too, all with the largest page_id are responses. Control
-characters in urls are percent-encoded. An empty table writes no archive and
-reads as no rows. Other columns are not read.
+their payloads repeat too, all with the largest page_id are responses; their
+revisits then name its page and url, but no record. Control characters in urls
+are percent-encoded. Payloads may have any size; what a task holds is one archive,
+or one record where that is larger. An empty table writes no archive and reads as
+no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestra.llm.common import filesystem, saved
+from nestra.llm.common import filesystem, put_in_place, saved
 
 MIN_REVISIT_BYTES = 1000
+#: Records and payload bytes that reading passes on at once, or one record where that is larger.
+READ_RECORDS, READ_BYTES = 1000, 4 << 20
 #: An archive is closed beyond so many bytes.
 ARCHIVE_BYTES = 4 << 20
 #: Repeated payloads up to which their table of digests is broadcast (under 100 bytes each); beyond, it is joined by a shuffle.
@@ -45,9 +49,11 @@ RECORDS = "kind string, record_id string, concurrent_to string, page_id long, ur
 
 
 def repeated_payloads(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(digest, response_id) of payloads that more than one of (page_id, html) has."""
-    sized = pages.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha1("html").alias("digest"))
-    return sized.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").select("digest", "response_id")
+    """(digest, response_id, response_url, single) of payloads that more than one of (page_id, url, html) has; single: one row alone has that page_id."""
+    sized = pages.where(F.octet_length("html") >= min_bytes).select("page_id", "url", F.sha1("html").alias("digest"))
+    each = sized.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max("url").alias("url"))
+    found = each.groupBy("digest").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "n", "url")).alias("x"), F.sum("n").alias("n")).where("n > 1")
+    return found.select("digest", F.col("x.page_id").alias("response_id"), F.col("x.url").alias("response_url"), (F.col("x.n") == 1).alias("single"))
 
 
 def _record(kind: str, record_id: str, headers: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
@@ -59,17 +65,25 @@ def _record(kind: str, record_id: str, headers: list[tuple[str, str]], content_t
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def capture(key: str, page_id: int | None, url: str | None, payload: bytes, digest: str, response_id: int | None) -> bytes:
-    """The three records of a capture; response_id: the page that it revisits."""
-    target = [] if url is None else [("WARC-Target-URI", _CONTROL.sub(lambda m: quote(m[0], safe=""), url))]
+def response_name(page_id: int, digest: str) -> str:
+    """Id of the record that revisits refer to."""
+    return f"<urn:page:{page_id}:{digest}:response>"
+
+
+def capture(key: str, page_id: int | None, url: str | None, payload: bytes, digest: str, response_id: int | None = None, response_url: str | None = None, single: bool = False) -> bytes:
+    """The three records of a capture. response_id: the page whose equal payload is kept, and its url; single: one record has it."""
+    target = [] if url is None else [("WARC-Target-URI", _escaped(url))]
     page = [] if page_id is None else [("WARC-Page-ID", str(page_id))]
-    main = f"<urn:capture:{key}:response>"
+    revisits = response_id is not None and response_id != page_id
+    main = response_name(page_id, digest) if single and response_id == page_id and page_id is not None else f"<urn:capture:{key}:response>"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     payload_digest = [("WARC-Payload-Digest", f"sha1:{digest}")]
-    if response_id is None:
+    if not revisits:
         answer = _record("response", main, target + page + payload_digest, "application/http;msgtype=response", head + payload)
     else:
-        refers = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{response_id}:response>")]
+        refers = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Date", DATE), ("WARC-Refers-To-Page-ID", str(response_id))]
+        refers += [("WARC-Refers-To", response_name(response_id, digest))] * bool(single)
+        refers += [] if response_url is None else [("WARC-Refers-To-Target-URI", _escaped(response_url))]
         answer = _record("revisit", main, target + page + payload_digest + refers, "application/http;msgtype=response", head)
     link = [*target, ("WARC-Concurrent-To", main)]
     path = "/" + (url or "").partition("://")[2].partition("/")[2]
@@ -78,14 +92,22 @@ def capture(key: str, page_id: int | None, url: str | None, payload: bytes, dige
     return request + answer + metadata
 
 
+def _escaped(url: str) -> str:
+    return _CONTROL.sub(lambda m: quote(m[0], safe=""), url)
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> int:
     """Writes (page_id, url, html) as archives in a folder; returns the number of captures."""
     pages = pages.select("page_id", "url", "html")
     repeated = saved(repeated_payloads(pages, min_bytes), "payloads")
     digested = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit(""))))
+    columns = ["page_id", "url", "html", "digest", "response_id", "response_url", "single"]
     if repeated.count() <= broadcast_rows:
-        repeated = F.broadcast(repeated)
-    judged = digested.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id")).alias("response_id"))
+        judged = digested.join(F.broadcast(repeated), "digest", "left").select(columns)
+    else:  # only payloads that may repeat are dealt
+        large = F.coalesce(F.octet_length("html") >= min_bytes, F.lit(False))
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in repeated.dtypes[1:]]
+        judged = digested.where(large).join(repeated, "digest", "left").select(columns).unionByName(digested.where(~large).select("*", *nothing))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -99,12 +121,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
             draft = f"{root}/_{name}-{task.taskAttemptId()}"
             with fs.open_output_stream(draft, compression=None) as out:
                 out.write(b"".join(held))
-            fs.move(draft, f"{root}/{name}")
+            put_in_place(fs, draft, f"{root}/{name}")
             number, held, size = number + 1, [], 0
 
         for batch in batches:
-            for page_id, url, html, digest, response_id in zip(*(batch.column(i) for i in range(5)), strict=True):
-                record = capture(f"{part}-{n}", page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), digest.as_py(), response_id.as_py())
+            for page_id, url, html, *rest in zip(*(batch.column(i) for i in range(7)), strict=True):
+                record = capture(f"{part}-{n}", page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), *(x.as_py() for x in rest))
                 held.append(record)
                 n, size = n + 1, size + len(record)
                 if size >= archive_bytes:
@@ -130,9 +152,6 @@ def members(content: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-_PAGE = re.compile(r"<urn:page:(-?\d+):response>")
-
-
 def parse(record: bytes, with_payload: bool) -> tuple:
     """One record as a row of RECORDS; the digest of a response is that of its payload, which must be the header's."""
     head, _, rest = record.partition(b"\r\n\r\n")
@@ -150,7 +169,7 @@ def parse(record: bytes, with_payload: bool) -> tuple:
         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
         payload_bytes = int(dict(x.split(": ", 1) for x in named)["Content-Length"])
         if kind == "revisit":
-            payload, refers_to = None, int(_PAGE.fullmatch(headers["WARC-Refers-To"])[1])
+            payload, refers_to = None, int(headers["WARC-Refers-To-Page-ID"])
         elif len(payload) != payload_bytes or hashlib.sha1(payload).hexdigest() != digest:
             raise ValueError("a payload is damaged")
     else:
@@ -165,10 +184,18 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = True) ->
     kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in RECORDS.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
             for content in batch.column(0):
-                rows = [parse(m, with_payload) for m in members(content.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows, size = [], 0
+                for member in members(content.as_py()):
+                    rows.append(parse(member, with_payload))
+                    size += len(member) if with_payload else 0
+                    if len(rows) >= READ_RECORDS or size >= READ_BYTES:
+                        yield ready(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield ready(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     return files.select("content").mapInArrow(read, RECORDS)

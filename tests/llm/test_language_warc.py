@@ -89,6 +89,11 @@ def test_warc_round_trip(spark):
         assert warc.write_archives(df.repartition(3), folder, archive_bytes=2000, broadcast_rows=broadcast_rows) == len(pages)
         rows = warc.read_captures(spark, folder).collect()
         assert len(rows) == len(pages)
+        ids = [r.record_id for r in warc.read_records(spark, folder, with_payload=False).collect()]
+        assert len(set(ids)) == len(ids) == 3 * len(pages)
+        raw_files = [bytes(r.content) for r in spark.read.format("binaryFile").load(folder).collect()]
+        heads = [dict(x.split(": ", 1) for x in m.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for f in raw_files for m in warc.members(f)]
+        refers = {h["WARC-Record-ID"]: h.get("WARC-Refers-To") for h in heads}
         for r in rows:
             own = [p for p in pages if p[0] == r.page_id]
             raw = (own[0][2] or "").encode()
@@ -97,19 +102,30 @@ def test_warc_round_trip(spark):
             assert (r.response.kind, r.response.refers_to) == (("revisit", 2) if revisit else ("response", None))
             assert r.response.payload is None if revisit else bytes(r.response.payload) == raw
             assert r.request.fields.startswith("GET /") and r.metadata.fields == f"payload-bytes: {len(raw)}"
+            if revisit:
+                assert refers[r.response.id] in ids
             if r.page_id == 2:
                 assert r.url == "http://a.b/d%0D%0AX:%20y"
             else:
                 assert r.url == own[0][1]
 
 
+def test_revisits_of_a_page_that_is_there_twice(spark):
+    text = "long " * 300
+    df = spark.createDataFrame([(5, "a", text), (5, "b", text), (1, None, text), (None, "c", text)], "page_id long, url string, html string")
+    folder = scratch(spark, "warc")
+    warc.write_archives(df, folder)
+    rows = warc.read_captures(spark, folder).collect()
+    assert sorted((str(r.page_id), r.response.kind, str(r.response.refers_to)) for r in rows) == [("1", "revisit", "5"), ("5", "response", "None"), ("5", "response", "None"), ("None", "revisit", "5")]
+
+
 def test_warc_faults(spark):
     folder = scratch(spark, "warc")
     assert warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder) == 0
-    data = warc.capture("0-0", 1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
+    data = warc.capture("0-0", 1, "u", b"payload", hashlib.sha1(b"payload").hexdigest())
     assert [warc.parse(m, True)[0] for m in warc.members(data)] == ["request", "response", "metadata"]
     with pytest.raises((ValueError, zlib.error)):
         list(warc.members(data[:-9]))
-    bad = warc.capture("0-0", 1, "u", b"payload", "0" * 40, None)
+    bad = warc.capture("0-0", 1, "u", b"payload", "0" * 40)
     with pytest.raises(ValueError):
         [warc.parse(m, True) for m in warc.members(bad)]
