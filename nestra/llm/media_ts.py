@@ -7,7 +7,12 @@ points. Both work on whole arrays of packets.
 
 Cases: a null payload is empty, and an empty payload has one access unit of
 padding in media_table(). demux() refuses streams without sync bytes, program
-tables or with a wrong table checksum; lost or doubled packets are counted.
+tables or with a wrong table checksum, and programs that move to another stream.
+A packet that comes twice in a row, as streams may have it, counts and its payload
+is taken once. Lost packets are counted, and so are elementary packets that lack
+or exceed their stated length. Payloads of any length are whole; a batch of rows
+ends at about BATCH_BYTES of them, or after one. Repeated rows get equal answers,
+an empty table gives no rows, and only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ PAD = 255
 #: 90 kHz ticks between access units; each so many units, one is a random-access point.
 TICKS, RANDOM_EACH = 3600, 8
 PES_HEADER = 14
+#: Bytes of media that a batch of rows holds, or one row where that is larger.
+BATCH_BYTES = 8 << 20
 
 
 def _crc_table() -> list[int]:
@@ -132,18 +139,28 @@ class Demuxed:
     random_access: np.ndarray
     packets: int
     discontinuities: int
+    doubled: int = 0
+    damaged: int = 0
 
 
-def _section(packet: np.ndarray, table_id: int) -> bytes:
-    raw = packet.tobytes()
-    at = 5 + raw[4]
-    length = (raw[at + 1] & 15) << 8 | raw[at + 2]
+def _section(payload: np.ndarray, table_id: int) -> bytes:
+    raw = payload.tobytes()
+    at = 1 + raw[0]
+    length = (raw[at + 1] & 15) << 8 | raw[at + 2] if at + 2 < len(raw) else 0
     section = raw[at : at + 3 + length]
-    if raw[at] != table_id or crc32_mpeg(section) != 0:
+    if length < 9 or raw[at] != table_id or crc32_mpeg(section) != 0:
         raise ValueError("a program table is damaged")
     return section[8:-4]
 
 
+def _tables(packets: np.ndarray, table_id: int) -> bytes:
+    """The body of a table that comes again and again; every copy is checked."""
+    bodies = {_section(p, table_id) for p in np.unique(packets[:, 4:], axis=0)}
+    if len(bodies) != 1:
+        raise ValueError("the program changes")
+    return bodies.pop()
+
+
 def demux(media: bytes) -> Demuxed:
     """The first elementary stream of the first program."""
     if len(media) % PACKET or not media:
@@ -156,15 +173,24 @@ def demux(media: bytes) -> Demuxed:
     pat = np.flatnonzero((pid == PAT_PID) & starts)
     if not len(pat):
         raise ValueError("no program association table")
-    body = _section(packets[pat[0]], 0x00)
+    body = _tables(packets[pat], 0x00)
     pmt_pid = (body[2] & 31) << 8 | body[3]
     pmt = np.flatnonzero((pid == pmt_pid) & starts)
     if not len(pmt):
         raise ValueError("no program map table")
-    body = _section(packets[pmt[0]], 0x02)
+    body = _tables(packets[pmt], 0x02)
     skip = 4 + ((body[2] & 15) << 8 | body[3])
     stream_pid = (body[skip + 1] & 31) << 8 | body[skip + 2]
     own = packets[pid == stream_pid]
+    counters = own[:, 3] & 15
+    with_payload = own[:, 3] >> 4 & 1 == 1
+    again = np.zeros(len(own), bool)
+    again[1:] = (counters[1:] == counters[:-1]) & with_payload[1:] & with_payload[:-1]
+    # A copy may differ in its clock only, so its payload is what counts.
+    begin = np.where(own[:, 3] >> 4 & 2 != 0, 5 + own[:, 4].astype(np.int64), 4)
+    for i in np.flatnonzero(again):
+        again[i] = begin[i] == begin[i - 1] and (own[i, begin[i] :] == own[i - 1, begin[i] :]).all()
+    own = own[~again]
     control = own[:, 3] >> 4 & 3
     counters = own[:, 3] & 15
     with_payload = control & 1 == 1
@@ -178,13 +204,15 @@ def demux(media: bytes) -> Demuxed:
     if not len(at) or (stream[at] != 0).any() or (stream[at + 1] != 0).any() or (stream[at + 2] != 1).any():
         raise ValueError("an elementary packet has no start code")
     header = 9 + stream[at + 8].astype(np.int64)
+    stated = stream[at + 4].astype(np.int64) << 8 | stream[at + 5]
+    damaged = int(((stated > 0) & (stated + 6 != np.diff(np.r_[at, len(stream)]))).sum())
     p = [stream[at + 9 + i].astype(np.int64) for i in range(5)]
     pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
     random = field[unit_starts] & (own[unit_starts, 4] > 0) & (own[unit_starts, 5] & 0x40 != 0)
     keep = np.ones(len(stream), bool)
     for i in range(int(header.max())):
         keep[at[header > i] + i] = False
-    return Demuxed(stream[keep].tobytes(), pts, pts[random], len(packets), lost)
+    return Demuxed(stream[keep].tobytes(), pts, pts[random], len(packets), lost, int(again.sum()), damaged)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -197,19 +225,21 @@ def media_table(docs: DataFrame) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sizes, media = [], []
-                for text in part.column(1):
-                    n, payload = padded(text.as_py())
-                    sizes.append(n)
-                    media.append(mux(payload))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            at, sizes, media, held = 0, [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                n, payload = padded(text.as_py())
+                sizes.append(n)
+                media.append(mux(payload))
+                held += len(media[-1])
+                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    ids = batch.column(0).slice(at, len(media)).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                    at, sizes, media, held = i + 1, [], [], 0
 
     return saved(docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, media binary"), "media")
 
 
-DECODED = "doc_id long, n_bytes long, payload binary, pts array<long>, random_access array<long>, packets long, discontinuities long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long"
+DECODED = "doc_id long, n_bytes long, payload binary, pts array<long>, random_access array<long>, packets long, discontinuities long, doubled long, damaged long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long"
 
 
 def read_media(media: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -220,15 +250,15 @@ def read_media(media: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = []
-                for doc_id, n_bytes, stored in zip(*(batch.column(i).slice(at, 512) for i in range(3)), strict=True):
-                    raw = stored.as_py()
-                    d = demux(raw)
-                    row = [doc_id.as_py(), n_bytes.as_py(), d.payload, d.pts.tolist(), d.random_access.tolist(), d.packets, d.discontinuities, len(raw), hashlib.sha256(raw).hexdigest(), len(d.payload), hashlib.sha256(d.payload).hexdigest(), zlib.crc32(d.payload[-32:])]
-                    if not with_payload:
-                        del row[2]
-                    rows.append(row)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [f for f, _ in fields])
+            rows, held = [], 0
+            for i, (doc_id, n_bytes, stored) in enumerate(zip(*(batch.column(c) for c in range(3)), strict=True)):
+                raw = stored.as_py()
+                d = demux(raw)
+                payload = [d.payload] if with_payload else []
+                rows.append((doc_id.as_py(), n_bytes.as_py(), *payload, d.pts.tolist(), d.random_access.tolist(), d.packets, d.discontinuities, d.doubled, d.damaged, len(raw), hashlib.sha256(raw).hexdigest(), len(d.payload), hashlib.sha256(d.payload).hexdigest(), zlib.crc32(d.payload[-32:])))
+                held += len(d.payload) if with_payload else 8 * len(d.pts) + 200
+                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [f for f, _ in fields])
+                    rows, held = [], 0
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, ", ".join(" ".join(f) for f in fields))

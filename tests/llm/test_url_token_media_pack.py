@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nestra.llm import media_ts, packing, token_counts, token_ids, url_filter
-from nestra.llm.common import scratch
+from nestra.llm import queries as q
+from nestra.llm.common import filesystem, put_in_place, scratch, table
 
 TEXTS = [(1, "A short text."), (2, None), (3, ""), (4, "words of a long text " * 900), (5, "Ünïcode — 日本語 🙂 text"), (6, "A short text."), (7, "x" * 30000)]
 
@@ -58,12 +60,28 @@ def test_url_filter(spark):
 
 def test_bloom_passes_all_members(spark):
     keys = spark.range(5000).selectExpr("concat('key', id) as canonical")
+    passed = lambda bloom, df: bloom.tested(df, "canonical", "p").where("p").count()
     bloom = url_filter.BlockedBloom.build(keys, "canonical")
-    assert bloom.possible(keys, "canonical").count() == 5000
+    assert passed(bloom, keys) == 5000
     others = spark.range(5000).selectExpr("concat('other', id) as canonical")
-    assert bloom.possible(others, "canonical").count() < 500
+    assert passed(bloom, others) < 500 and bloom.tested(others, "canonical", "p").count() == 5000
+    assert passed(bloom, spark.sql("SELECT cast(null as string) canonical")) == 0
     tiny = url_filter.BlockedBloom.build(keys, "canonical", max_blocks=4)  # saturated: all pass, and the join decides
-    assert tiny.n_blocks == 4 and tiny.possible(keys, "canonical").count() == 5000
+    assert tiny.n_blocks == 4 and passed(tiny, keys) == 5000
+    pages = keys.union(others).selectExpr("hash(canonical) page_id", "concat('http://', canonical) url")
+    assert url_filter.filter_urls(pages, keys, bloom=tiny).where("listed").count() == 5000
+
+
+def test_a_hot_url_and_repeated_pages(spark):
+    listed = spark.createDataFrame([("h/p",)], "canonical string")
+    pages = spark.range(2000).selectExpr("id % 1500 page_id", "if(id % 3 = 0, 'http://www.h/p.html', if(id % 3 = 1, null, 'http://h/p2')) url")
+    rows = url_filter.filter_urls(pages, listed).collect()
+    assert len(rows) == 2000 and sum(r.verdict == "block" for r in rows) == 667 == sum(r.listed for r in rows)
+
+
+def test_the_list_comes_from_footers(spark):
+    pages = spark.createDataFrame([("http://a/1/", "<footer>&copy; www.free-bets.example.com &middot;"), ("http://m.a/1.html", "<footer>&copy; free-bets.x"), ("http://b/2", "free-bets"), (None, "<footer>&copy; free-bets.x"), ("http://c/3", None)], "url string, html string")
+    assert [r.canonical for r in url_filter.listed_urls(pages).collect()] == ["a/1"]
 
 
 def test_token_ids_are_those_of_the_tokenizers_library():
@@ -116,7 +134,15 @@ def test_transport_stream_round_trip(size):
 def test_transport_stream_faults():
     media = media_ts.mux(bytes(5760 * 3))
     without = media[: 188 * 5] + media[188 * 6 :]
-    assert media_ts.demux(without).discontinuities == 1
+    lacking = media_ts.demux(without)
+    assert (lacking.discontinuities, lacking.damaged, lacking.doubled) == (1, 1, 0)
+    twice = media[: 188 * 6] + media[188 * 5 : 188 * 9] + media[188 * 8 :]
+    whole = media_ts.demux(twice)
+    assert whole.payload == bytes(5760 * 3) and (whole.discontinuities, whole.damaged, whole.doubled, whole.packets) == (0, 0, 2, len(media) // 188 + 2)
+    long = media_ts.mux(bytes(5760 * 9))  # its tables come twice, the second copy damaged
+    second = long.index(long[:4][:3], 188 * 3)
+    with pytest.raises(ValueError):
+        media_ts.demux(long[: second + 20] + bytes([long[second + 20] ^ 1]) + long[second + 21 :])
     for broken in (b"", media[:-1], b"\0" + media[1:], media[188:], media[:10] + bytes([media[10] ^ 1]) + media[11:]):
         with pytest.raises(ValueError):
             media_ts.demux(broken)
@@ -129,7 +155,59 @@ def test_media_table(docs):
         padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (rows[i].n_bytes, bytes(rows[i].payload), rows[i].payload_bytes) == (len(raw), padded, len(padded))
         assert rows[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and rows[i].tail_crc32 == zlib.crc32(padded[-32:])
+        assert (rows[i].doubled, rows[i].damaged, rows[i].discontinuities) == (0, 0, 0)
     assert rows[1].media_sha256 == rows[6].media_sha256
+    assert media_ts.read_media(media_ts.media_table(docs.limit(0))).collect() == []
+
+
+def test_media_query_against_brute_force(spark, sf_dir):
+    """Every column of the registered query, the feature too."""
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    rows = q.op9_media_columns(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        media = media_ts.mux(payload)
+        units = -(-len(payload) // 5760)
+        feature = f"units={units};pts=0-{3600 * (units - 1)};random_access={','.join(str(3600 * i) for i in range(0, units, 8))};packets={len(media) // 188};discontinuities=0"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+
+
+def test_very_long_runs_through_the_queries_operators(spark):
+    texts = [(1, " " * 2_000_000), (2, "a" + "\n" * 2_000_000 + "b"), (3, "x" * 300_000), (4, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    expected = {i: n_ids(t) for i, t in texts}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()} == expected
+    lengths = packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id: (r.n, r["all"]) for r in lengths} == {i: (n + 1, n + 1) for i, n in expected.items()}
+
+
+def test_counting_and_packing_queries_against_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    vocabulary = token_ids.default_vocabulary()
+    ids = {i: [*token_ids.encode(t or "", vocabulary).tolist(), 0] for i, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in q.op5_token_counts(spark, sf_dir).collect()} == {i: len(token_ids.encode(t or "", vocabulary, special=False)) for i, t in texts.items()}
+    seen, sequences = {}, {}
+    for r in q.op10_packing(spark, sf_dir).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(own) == r.length and r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.asarray(own, "<u4").tobytes())
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert seen == {i: len(x) for i, x in ids.items()}
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:j]) for j in range(len(pieces))] and sum(n for _, n in pieces) <= 1024
+
+
+def test_a_file_that_is_there_is_left(tmp_path):
+    fs, root = filesystem(str(tmp_path))
+    for text in (b"first", b"again"):
+        with fs.open_output_stream(f"{root}/_draft") as f:
+            f.write(text)
+        put_in_place(fs, f"{root}/_draft", f"{root}/whole")
+    assert (tmp_path / "whole").read_bytes() == b"first" and not (tmp_path / "_draft").exists()
 
 
 def test_packing(spark, docs):
