@@ -222,42 +222,57 @@ def gram_counts(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """(doc_id, item_id, score, end_word) of contaminated pairs of (doc_id, text) and (item_id, text).
-
-    One row for a pair; end_word counts the document's words up to the end of the best match.
-    """
+def _indexes(docs: DataFrame, items: DataFrame, min_score: float, index_rows: int) -> Iterator[Index]:
+    """The seeds of all items, in parts with a bounded number of words each."""
     if min_score <= 0.5:
         raise ValueError("seeds are sure for scores over 0.5 only")
     cut = saved(item_words(items), "items")
     size = cut.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
     n_parts = max(1, -(-int(size) // index_rows))
-    found = [_part(docs, cut.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_parts)) == part), min_score) for part in range(n_parts)]
-    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("before"))).alias("x"))
+    for part in range(n_parts):
+        rows = cut.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_parts)) == part).collect()
+        ids, words = [r.item_id for r in rows], [np.frombuffer(r.words, "<u8") for r in rows]
+        grams = cut.sparkSession.createDataFrame([(int(g),) for w in words for g in signed(_grams(w, 2))] if rows else [], "gram long").distinct()
+        counts = gram_counts(docs, Index(ids, words, None, min_score)).join(F.broadcast(grams), "gram", "left_semi")  # no more than the part has
+        yield Index(ids, words, {r.gram: r.n for r in counts.collect()}, min_score)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """(doc_id, item_id, score, end_word) of contaminated pairs of (doc_id, text) and (item_id, text).
+
+    One row for a pair; end_word counts the document's words up to the end of the best match.
+    """
+
+    def found(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_chunks(batches):
+                text, item, scores, ends = _scores(shared.value, Words(*text_bytes(batch.column(1)), lower=True, marks=True))
+                kept = np.flatnonzero(scores >= min_score)
+                item_ids = pa.array([shared.value.ids[i] for i in item[kept]], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(text[kept])), item_ids, pa.array(scores[kept]), pa.array(ends[kept])], ["doc_id", "item_id", "score", "end_word"])
+
+        return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
+
+    each = reduce(DataFrame.unionByName, [found(x) for x in _indexes(docs, items, min_score, index_rows)])
+    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("before"))).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.score").alias("score"), (-F.col("x.before")).alias("end_word"))
 
 
-def _part(docs: DataFrame, cut: DataFrame, min_score: float) -> DataFrame:
-    """decontaminate() for a part of the items that has a bounded number of words."""
-    rows = cut.collect()
-    ids, words = [r.item_id for r in rows], [np.frombuffer(r.words, "<u8") for r in rows]
-    all_grams = cut.sparkSession.createDataFrame([(int(g),) for w in words for g in signed(_grams(w, 2))] if rows else [], "gram long").distinct()
-    counts = gram_counts(docs, Index(ids, words, None, min_score)).join(F.broadcast(all_grams), "gram", "left_semi")
-    index = docs.sparkSession.sparkContext.broadcast(Index(ids, words, {r.gram: r.n for r in counts.collect()}, min_score))
+def keep_clean(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """The documents that no test item contaminates; each row is judged where it is, by its own text, whatever its doc_id."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
-            doc_ids = batch.column(0).cast(pa.int64())
-            text, item, scores, ends = _scores(index.value, Words(*text_bytes(batch.column(1)), lower=True, marks=True))
-            kept = np.flatnonzero(scores >= min_score)
-            item_ids = pa.array([index.value.ids[i] for i in item[kept]], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(text[kept])), item_ids, pa.array(scores[kept]), pa.array(ends[kept])], ["doc_id", "item_id", "score", "end_word"])
+    def clean(df: DataFrame, index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_chunks(batches):
+                text, _, scores, _ = _scores(shared.value, Words(*text_bytes(batch.column(batch.schema.get_field_index("text"))), lower=True, marks=True))
+                left = np.ones(batch.num_rows, bool)
+                left[text[scores >= min_score]] = False
+                yield batch.filter(pa.array(left))
 
+        return df.mapInArrow(keep, docs.schema)
 
-def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no test item contaminates; each row is judged by its own doc_id, null or not, and text."""
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), items)
-    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)
+    return reduce(clean, _indexes(docs, items, min_score, index_rows), docs)
