@@ -1,16 +1,23 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a context tree of up to three bytes is counted on a bounded
+For each language a context tree of up to ORDER bytes is counted on a bounded
 sample of labelled texts and frozen. A node gives a seen byte count / (n + d)
 and passes the escape probability d / (n + d) to its shorter context, whose
-seen bytes are excluded (method C); below the root all bytes are equal. The
-trees of all languages are laid out as one table with a row for each context,
-so that the exact code length of a text under every language is one gather and
-one sum. The shortest code wins.
+seen bytes are excluded (method C); below the root all 256 bytes are equal. The
+trees of all languages are laid out as one table with a row for each context and
+a column for each byte of the sample, so that the exact code length of a text
+under every language is one gather and one sum. Bytes that the sample lacks are
+equal to one another in every context and share a column. The shortest code wins,
+of equal ones the language whose name is first.
+
+Nothing of the sample is left out: every context and byte that it has counts. Its
+bound is SAMPLE_BYTES of text for each language, as an expected number.
 
 Cases: a null text, or one without a letter, is `und` with score 0. Texts that
-repeat get equal answers. With no labelled text at all every text is `und`.
-Only text is read for a prediction; other columns may have any names.
+repeat get equal answers. A very long text is coded whole, in one step. With no
+labelled text at all every text is `und`; an empty table gives no rows. In the
+sample a row without doc_id, or with a repeated one, counts for itself. Only text
+is read for a prediction; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,12 +32,10 @@ from pyspark.sql import functions as F
 
 from nestra.llm.common import text_bytes, text_chunks
 
-#: Bytes beyond the most frequent share one symbol; one more stands before a text.
-SYMBOLS, OTHER, START = 128, 126, 127
-#: Labelled texts counted for each language, as an expected number.
-SAMPLE_TEXTS = 400
-#: Most bytes of the table of code lengths; the rarest contexts of three bytes go first.
-TABLE_BYTES = 48 << 20
+#: Most bytes of a context.
+ORDER = 3
+#: Bytes of labelled texts counted for each language, as an expected number.
+SAMPLE_BYTES = 800_000
 #: Bits that score lets count for each bit of code length, as neighbouring bytes are not independent.
 TEMPER = 0.1
 
@@ -38,8 +43,9 @@ TEMPER = 0.1
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    symbol: np.ndarray  # of each byte
-    context: np.ndarray  # row of the longest known context, for three symbols
+    symbol: np.ndarray  # of each byte: 0 for all that the sample lacks, else from 1; `n_symbols` stands before a text
+    n_symbols: int
+    context: np.ndarray  # row of the longest known context, for ORDER symbols
     bits: np.ndarray  # code length: context row, symbol, language
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -49,13 +55,13 @@ class Model:
             return out
         s = self.symbol[data]
         code = np.zeros(len(s), np.int32)
-        for back in (3, 2, 1):
-            before = np.full(len(s), START, np.int32)
+        for back in range(ORDER, 0, -1):
+            before = np.full(len(s), self.n_symbols, np.int32)
             before[back:] = s[:-back]
             for i in range(back):  # what lies before a text
                 at = offsets[:-1] + i
-                before[at[at < offsets[1:]]] = START
-            code = code << 7 | before
+                before[at[at < offsets[1:]]] = self.n_symbols
+            code = code * (self.n_symbols + 1) + before
         bits = self.bits[self.context[code], s]
         full = np.flatnonzero(np.diff(offsets))
         out[full] = np.add.reduceat(bits, offsets[:-1][full], axis=0, dtype=np.float64)
@@ -66,18 +72,17 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """(lang, text) of labelled documents that are not held out, about `texts` for each language, by a hash."""
+def labelled_sample(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(lang, text) of labelled documents that are not held out, about `sample_bytes` for each language, by a hash of doc_id and text."""
     known = docs.where(~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return known.select("lang", "text")
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, texts / n))])
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"))
+    share = sizes.select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), sample_bytes / F.greatest(F.col("n"), F.lit(1))).alias("__share"))
+    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("__lang"))  # a row for each language
+    return chosen.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("__share") * (1 << 20)).select("lang", "text")
 
 
 def gram_counts(sample: DataFrame) -> list[tuple[str, int, int]]:
-    """(language, four bytes as a number, count), summed in Spark; three zero bytes stand before a text."""
+    """(language, place and bytes as a number, count), summed in Spark: the byte and three before it, and how many of these lie before the text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -85,83 +90,77 @@ def gram_counts(sample: DataFrame) -> list[tuple[str, int, int]]:
             for lang in sorted(set(langs)):
                 rows = batch.filter(pa.array(langs == lang))
                 data, offsets = text_bytes(rows.column(1))
-                padded = np.insert(data, np.repeat(offsets[:-1], 3), 0).astype(np.uint32)
-                own = np.ones(len(padded), bool)
-                own[(offsets[:-1] + 3 * np.arange(len(offsets) - 1))[:, None] + np.arange(3)] = False
-                code = np.zeros(len(padded), np.uint32)
-                code[3:] = padded[:-3] << np.uint32(24) | padded[1:-2] << np.uint32(16) | padded[2:-1] << np.uint32(8) | padded[3:]
-                grams, n = np.unique(code[own], return_counts=True)
+                code = data.astype(np.int64)
+                for back in range(1, ORDER + 1):
+                    code[back:] |= data[:-back].astype(np.int64) << 8 * back
+                place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+                early = np.maximum(ORDER - place, 0)
+                code &= (np.int64(1) << (8 * (ORDER + 1 - early))) - 1  # no byte of the text before
+                code |= early << 8 * (ORDER + 1)
+                grams, n = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     rows = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return [(r.lang, r.gram, r.n) for r in rows.collect()]
 
 
-def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, table_bytes: int = TABLE_BYTES) -> Model:
+def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The frozen trees, from (doc_id, lang, text)."""
-    counted = gram_counts(labelled_sample(docs, texts))
+    counted = gram_counts(labelled_sample(docs, sample_bytes))
     languages = tuple(sorted({c[0] for c in counted}))
     lang = np.array([languages.index(c[0]) for c in counted], np.int64)
     gram = np.array([c[1] for c in counted], np.int64)
     n = np.array([c[2] for c in counted], np.float64)
-    frequency = np.bincount(gram & 255, n, 256) if len(gram) else np.zeros(256)
-    symbol = np.full(256, OTHER, np.int32)
-    kept = np.argsort(-frequency, kind="stable")[:OTHER]
-    symbol[kept] = np.arange(OTHER)
+    symbol = np.zeros(256, np.int32)
+    here = np.unique(gram & 255)
+    symbol[here] = np.arange(1, len(here) + 1)
+    size = len(here) + 1  # and START, as a context only
     if not languages:
-        return Model((), symbol, np.zeros(1, np.int32), np.zeros((1, SYMBOLS, 0), np.float32))
-    before = np.where(np.arange(256) == 0, START, symbol)  # a zero byte before a text; none in texts that matter
-    s3, s2, s1, s0 = (before[gram >> 24 & 255], before[gram >> 16 & 255], before[gram >> 8 & 255], symbol[gram & 255])
-    contexts = [np.zeros(len(gram), np.int64), s1.astype(np.int64), s2.astype(np.int64) << 7 | s1, s3.astype(np.int64) << 14 | s2.astype(np.int64) << 7 | s1]
-
-    rows_left = table_bytes // (SYMBOLS * len(languages) * 4)
-    chosen = []  # the contexts of each order, most frequent first
-    for order, c in enumerate(contexts):
-        ids, at = np.unique(c, return_inverse=True)
-        total = np.bincount(at, n)
-        best = np.argsort(-total, kind="stable")
-        best = best[total[best] >= (2 if order == 3 else 1)][: max(1 if order == 0 else 0, rows_left)]
-        rows_left -= len(best)
-        chosen.append(np.sort(ids[best]))
-
-    row_of = [dict() for _ in chosen]
-    bits = np.zeros((sum(map(len, chosen)), SYMBOLS, len(languages)), np.float32)
-    probability = np.zeros(bits.shape, np.float64)
+        return Model((), symbol, 1, np.zeros(1 << ORDER, np.int32), np.zeros((1, 1, 0), np.float32))
+    lacking = 256 - len(here)
+    early = gram >> 8 * (ORDER + 1)
+    s0 = symbol[gram & 255]
+    contexts = [np.zeros(len(gram), np.int64)]
+    for order in range(1, ORDER + 1):
+        before = np.where(early > ORDER - order, size, symbol[gram >> 8 * order & 255])
+        contexts.append(contexts[-1] + before * (size + 1) ** (order - 1))
+
+    known = [np.unique(c) for c in contexts]  # every context of the sample, by order
+    row_of: list[dict] = [dict() for _ in known]
+    probability = np.zeros((sum(map(len, known)), size, len(languages)))
     start = 0
-    for order, ids in enumerate(chosen):
-        table = np.zeros((len(ids), SYMBOLS, len(languages)))
-        at = np.searchsorted(ids, contexts[order])
-        at[at == len(ids)] = 0
-        known = ids[at] == contexts[order] if len(ids) else np.zeros(len(gram), bool)
-        np.add.at(table, (at[known], s0[known], lang[known]), n[known])
+    for order, ids in enumerate(known):
+        table = np.zeros((len(ids), size, len(languages)))
+        np.add.at(table, (np.searchsorted(ids, contexts[order]), s0, lang), n)
         if order == 0:
-            shorter = np.full((1, SYMBOLS, len(languages)), 1 / SYMBOLS)
+            shorter = np.full((1, size, len(languages)), 1 / 256)
+            shorter[:, 0] = lacking / 256
         else:
-            mask = (1 << 7 * (order - 1)) - 1
-            shorter = np.stack([probability[_longest(row_of, int(i) & mask, order - 1)] for i in ids]) if len(ids) else np.zeros_like(table)
+            shorter = probability[[_longest(row_of, int(i) % (size + 1) ** (order - 1), order - 1, size) for i in ids]]
         seen = table > 0
         total, distinct = table.sum(1, keepdims=True), seen.sum(1, keepdims=True)
         rest = np.where(seen, 0, shorter).sum(1, keepdims=True)
         escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        mixed = np.where(seen, table / np.maximum(total + distinct, 1), escape * shorter / np.maximum(rest, 1e-12))
+        mixed = np.where(seen, table / np.maximum(total + distinct, 1), escape * shorter / np.maximum(rest, 1e-300))
         probability[start : start + len(ids)] = mixed
         row_of[order].update({int(i): start + k for k, i in enumerate(ids)})
         start += len(ids)
-    bits[:] = -np.log2(np.maximum(probability, 1e-12))
+    bits = -np.log2(np.maximum(probability, 1e-300))
+    bits[:, 0] += np.log2(max(1, lacking))  # one of those that share the column
 
-    context = np.zeros(1 << 21, np.int32)
-    for order, ids in enumerate(chosen):
-        for i in ids:
-            row, step = row_of[order][int(i)], 1 << 7 * order
-            context[int(i) :: step] = row
-    return Model(languages, symbol, context, bits)
+    context = np.zeros((size + 1) ** ORDER, np.int32)
+    for order, ids in enumerate(known):
+        step = (size + 1) ** order
+        for i, row in row_of[order].items():
+            context[i::step] = row
+    return Model(languages, symbol, size, context, bits.astype(np.float32))
 
 
-def _longest(row_of: list[dict], context: int, order: int) -> int:
+def _longest(row_of: list[dict], context: int, order: int, size: int) -> int:
     """Row of the longest known suffix of a context."""
     while context not in row_of[order]:
         order -= 1
-        context &= (1 << 7 * order) - 1
+        context %= (size + 1) ** order
     return row_of[order][context]
 
 

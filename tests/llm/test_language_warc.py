@@ -8,58 +8,72 @@ import pytest
 from pyspark.sql import functions as F
 
 from nestra.llm import language_id, warc
+from nestra.llm import queries as q
 from nestra.llm.common import scratch, table
-from nestra.llm.language_id import OTHER, START, SYMBOLS
 
 
-def brute_bits(counted, model, lang, text):
+def brute_bits(texts, text):
     """Code length of a text by the definition: count, escape, exclude, one byte after another."""
-    counts = [dict() for _ in range(4)]
-    known = [set() for _ in range(4)]
-    kept = {}
-    for name, gram, n in counted:
-        symbols = [int(model.symbol[gram >> 8 * i & 255]) if i == 0 or gram >> 8 * i & 255 else START for i in (3, 2, 1, 0)]
-        for order in range(4):
-            context = tuple(symbols[3 - order : 3])
-            kept[context] = kept.get(context, 0) + n
-            if name == lang:
-                counts[order].setdefault(context, {})
-                counts[order][context][symbols[3]] = counts[order][context].get(symbols[3], 0) + n
-    for context, n in kept.items():
-        if len(context) < 3 or n >= 2:
-            known[len(context)].add(context)
+    counts = {}
+    for t in texts:
+        raw = [None] * 3 + list(t.encode())
+        for i in range(3, len(raw)):
+            for order in range(4):
+                own = counts.setdefault(tuple(raw[i - order : i]), {})
+                own[raw[i]] = own.get(raw[i], 0) + 1
 
     @lru_cache(maxsize=None)
     def p(context, s):
-        if len(context) and context not in known[len(context)]:
-            return p(context[1:], s)
-        seen = counts[len(context)].get(context, {})
-        lower = (lambda x: p(context[1:], x)) if context else (lambda x: 1 / SYMBOLS)
+        lower = (lambda x: p(context[1:], x)) if context else (lambda x: 1 / 256)
+        seen = counts.get(context, {})
         if not seen:
             return lower(s)
         n, d = sum(seen.values()), len(seen)
         if s in seen:
             return seen[s] / (n + d)
-        return d / (n + d) * lower(s) / sum(lower(x) for x in range(SYMBOLS) if x not in seen)
+        return d / (n + d) * lower(s) / sum(lower(x) for x in range(256) if x not in seen)
 
-    symbols = [START] * 3 + [int(model.symbol[b]) for b in text.encode()]
-    return sum(-math.log2(p(tuple(symbols[i - 3 : i]), symbols[i])) for i in range(3, len(symbols)))
+    raw = [None] * 3 + list(text.encode())
+    return sum(-math.log2(p(tuple(raw[i - 3 : i]), raw[i])) for i in range(3, len(raw)))
 
 
 def test_code_lengths_are_exact(spark):
-    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate([("a", "abcab cab abba"), ("b", "zyx zzy xyz é"), ("a", "abab"), ("b", "yy"), ("a", "cacao"), ("b", "zyzzyx")] * 4)], "doc_id long, lang string, text string")
+    rows = [(i, lang, text) for i, (lang, text) in enumerate([("a", "abcab cab abba"), ("b", "zyx zzy xyz é"), ("a", "abab"), ("b", "yy"), ("a", "cacao"), ("b", "zyzzyx"), ("b", "")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     model = language_id.fit(docs)
-    counted = language_id.gram_counts(language_id.labelled_sample(docs))
-    for text in ("abba", "xyz", "é?", "a", "zyxabc"):
+    learnt = {lang: [t for i, x, t in rows if x == lang and zlib.crc32(str(i).encode()) % 4 != 2] for lang in "ab"}
+    assert model.languages == ("a", "b")
+    for text in ("abba", "xyz", "é?", "a", "zyxabc", "QQ\0\x01a", "aé"):
         data = np.frombuffer(text.encode(), np.uint8)
         got = model.lengths(data, np.array([0, len(data)]))[0]
         for i, lang in enumerate(model.languages):
-            assert got[i] == pytest.approx(brute_bits(counted, model, lang, text), rel=1e-4)
+            assert got[i] == pytest.approx(brute_bits(learnt[lang], text), rel=1e-4)
     together = model.lengths(np.frombuffer(b"abbaaxyz", np.uint8), np.array([0, 4, 4, 5, 8]))
     assert together[1].tolist() == [0, 0]
     assert together[3] == pytest.approx(model.lengths(np.frombuffer(b"xyz", np.uint8), np.array([0, 3]))[0])
 
 
+def test_language_query_against_brute_force(spark, sf_dir):
+    """Which rows are held out, and what is predicted for each, by its own code lengths."""
+    docs = table(spark, sf_dir, "documents").collect()
+    learnt = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            learnt.setdefault(r.lang, []).append(r.text)
+    assert all(sum(len(t.encode()) for t in x) <= language_id.SAMPLE_BYTES for x in learnt.values())  # so all of them count
+    got = {r.doc_id: r for r in q.op2_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    short = [r for r in docs if len(r.text or "") < 300][:25]
+    for r in docs:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= got[r.doc_id].score <= 1
+    for r in short:
+        bits = {lang: brute_bits(tuple(x), r.text or "") for lang, x in learnt.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert got[r.doc_id].lang_pred == (best if any(c.isalpha() for c in r.text or "") else "und")
+        if got[r.doc_id].lang_pred != "und":
+            assert got[r.doc_id].bits_per_byte == pytest.approx(bits[best] / len(r.text.encode()), rel=1e-3)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id")
@@ -77,7 +91,6 @@ def test_language_cases(spark):
     unknown = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(unknown)).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), language_id.fit(docs)).collect() == []
-    assert OTHER < START < SYMBOLS
 
 
 def test_warc_round_trip(spark):
