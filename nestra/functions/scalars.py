@@ -267,3 +267,30 @@ def canonical(json_text: Column) -> Column:
         return texts.map(one)
 
     return sort(json_text)
+
+
+def not_blank(text: Column) -> Column:
+    """The text without blanks about it; one of blanks alone, or null, is an error."""
+    bare = F.trim(text)
+    return F.when(F.coalesce(bare, F.lit("")) == "", F.raise_error(F.lit("the text is blank")).cast("string")).otherwise(bare)
+
+
+def suffixed(names: Column) -> Column:
+    """A list of names without repeats: the second of a name gets `_2`, and so on."""
+    nth = lambda x, i: F.size(F.filter(F.slice(names, 1, i + 1), lambda y: y == x))
+    return F.transform(names, lambda x, i: F.when(nth(x, i) > 1, F.concat(x, F.lit("_"), nth(x, i).cast("string"))).otherwise(x))
+
+
+def any_text(value: Column, path: str = "$") -> Column:
+    """The text in a variant, null if something else is there."""
+    return F.try_variant_get(value, path, "string")
+
+
+def any_data(value: Column, path: str = "$") -> Column:
+    """The bytes of a base64 text in a variant, null if something else is there."""
+    return F.try_to_binary(any_text(value, path), F.lit("base64"))
+
+
+def any_struct(value: Column, kind: str, path: str = "$") -> Column:
+    """A variant read as a kind of struct or list; fields that it lacks are null."""
+    return F.try_variant_get(value, path, kind)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nestra.functions import scalars
 from nestra.operators.nested import table
 from nestra.plans import catalog, contract
+from nestra.plans.draft import planned
 from nestra.sources import frames
 from nestra.sources.shared import numbered
 
@@ -302,3 +303,29 @@ def text_chunks(spark, d):
 @query("SELECT event_id, 100 + row_number() OVER (ORDER BY ts, event_id) - 1 AS message_id FROM events")
 def gapless_ids(spark, d):
     return numbered(table(spark, d, "events").select("event_id", "ts"), "n", ["ts", "event_id"]).select("event_id", (F.col("n") + 100).alias("message_id"))
+
+
+@query("SELECT conv_id, string_agg(role || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END, ',' ORDER BY turn, text) AS names FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS nth FROM conversations) GROUP BY conv_id")
+def suffixed_names(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("x"))
+    return turns.select("conv_id", F.array_join(scalars.suffixed(F.col("x.role")), ",").alias("names"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type END AS text, CASE event_id % 3 WHEN 1 THEN octet_length(encode(event_type)) END AS n_bytes, CASE event_id % 3 WHEN 2 THEN user_id END AS id FROM events""")
+def any_values(spark, d):
+    """A field that holds a text, bytes or a struct."""
+    raw = F.expr("""case event_id % 3 when 0 then concat('{"v":"', event_type, '"}') when 1 then concat('{"v":null,"b":"', base64(event_type), '"}') else concat('{"v":{"id":', user_id, ',"n":1}}') end""")
+    events = table(spark, d, "events").select("event_id", F.parse_json(raw).alias("any"))
+    text, struct = scalars.any_text(F.col("any"), "$.v"), scalars.any_struct(F.col("any"), "struct<id bigint, z string>", "$.v")
+    return events.select("event_id", F.when(F.col("event_id") % 3 == 0, text).alias("text"), F.octet_length(scalars.any_data(F.col("any"), "$.b")).cast("long").alias("n_bytes"), struct["id"].alias("id"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, o_orderpriority || '/' || o_orderstatus AS both_fields FROM orders")
+def group_fields(spark, d):
+    """Fields of a group, which is a struct of its row."""
+    grouped = table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority")).alias("urgency")).alias("state"))
+    return planned(grouped, _group_fields)
+
+
+def _group_fields(o):
+    return {"o_orderkey": o.o_orderkey, "status": o.state.status, "both_fields": F.concat(o.state.urgency.priority, F.lit("/"), o.state.status)}

@@ -103,11 +103,11 @@ def route_fallback(spark, d):
     return contract.route(table(spark, d, "events"), routes, "event_type", "kind", "target", "fallback").select("event_id", "target")
 
 
-@query("""WITH RECURSIVE edges AS (SELECT DISTINCT c_nationkey AS a, (c_custkey * 7 + c_nationkey) % 25 AS b FROM customer WHERE c_custkey % 11 = 0),
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT c_nationkey AS a, (c_custkey * 7 + c_nationkey) % 25 AS b FROM customer),
  reach(a, b, lvl) AS (SELECT a, b, 1 FROM edges UNION ALL SELECT r.a, e.b, lvl + 1 FROM (SELECT DISTINCT a, b, lvl FROM reach) r JOIN edges e ON r.b = e.a WHERE lvl < 4)
  SELECT DISTINCT CAST(a AS BIGINT) AS source, CAST(b AS BIGINT) AS target FROM reach""")
 def ref_closure(spark, d):
-    edges = table(spark, d, "customer").where("c_custkey % 11 = 0").selectExpr("cast(c_nationkey as long) source", "cast((c_custkey * 7 + c_nationkey) % 25 as long) target").distinct()
+    edges = table(spark, d, "customer").selectExpr("cast(c_nationkey as long) source", "cast((c_custkey * 7 + c_nationkey) % 25 as long) target")
     return contract.closure(edges, depth=4)
 
 
@@ -150,12 +150,11 @@ def fingerprint(spark, d):
     return contract.fingerprint(table(spark, d, "nation"), ["n_name", "n_nationkey", "n_regionkey"]).select("n_nationkey", "fingerprint")
 
 
-@query("SELECT p_name, p_partkey, 100 + row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal FROM part WHERE p_size > 40 UNION ALL SELECT p_name, p_partkey, CAST(p_partkey % 100 AS BIGINT) FROM part WHERE p_partkey < 100 AND p_size <= 40")
+@query("SELECT p_name, p_partkey, 1000000000 + row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal FROM part WHERE p_size > 40 OR p_size IS NULL UNION ALL SELECT p_name, p_partkey, CAST(p_partkey AS BIGINT) FROM part WHERE p_size <= 40")
 def lock_ordinals(spark, d):
     part = table(spark, d, "part").select("p_name", "p_partkey", "p_size")
-    locked = part.where("p_partkey < 100 and p_size <= 40").select("p_name", "p_partkey", (F.col("p_partkey") % 100).alias("ordinal"))
-    new = part.where("p_size > 40").select("p_name", "p_partkey")
-    return contract.extend_lock(locked, new, order="p_partkey", next_ordinal=100)
+    locked = part.where("p_size <= 40").select("p_name", "p_partkey", F.col("p_partkey").cast("long").alias("ordinal"))
+    return contract.extend_lock(locked, part.select("p_name", "p_partkey"), order="p_partkey", next_ordinal=1_000_000_000)
 
 
 @query("""WITH lock AS (SELECT p_name, p_partkey, CAST(p_partkey * 2 AS BIGINT) AS ordinal FROM part WHERE p_size <= 25)
@@ -172,10 +171,10 @@ def classify_pages(spark, d):
     return table(spark, d, "pages").select("page_id", contract.pagination(F.col("url")).alias("kind"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TRUE ELSE FALSE END AS retry, trim(regexp_replace(lower(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g')) AS name FROM (SELECT page_id, substr(url, 1, 40) AS url FROM pages)""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TRUE ELSE FALSE END AS retry, substr(regexp_replace(lower(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g'), 1, 64) AS name FROM pages""")
 def scalar_names(spark, d):
     status = F.when(F.col("page_id") % 3 == 0, 503).otherwise(501)
-    return table(spark, d, "pages").select("page_id", retryable(status).alias("retry"), F.lower(snake_case(F.substring(masked_url(F.lower("url")), 1, 40))).alias("name"))
+    return table(spark, d, "pages").select("page_id", retryable(status).alias("retry"), snake_case(masked_url(F.lower("url"))).alias("name"))
 
 
 @query(r"""WITH given AS (SELECT page_id, [200, 404, 408, 429, 500, 501, 503][CAST(page_id % 7 AS INT) + 1] AS status,

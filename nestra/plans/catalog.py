@@ -13,7 +13,10 @@ catalogue only is part of that one change and not reported again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from nestra.sources.shared import saved
@@ -141,3 +144,73 @@ def dispatch(calls: DataFrame, handlers: DataFrame, keys: list[str], handler: st
     """calls with their handler and an error, `unimplemented`, where no handler has the keys."""
     known = handlers.dropDuplicates(keys).select(*keys, handler)
     return calls.join(known, keys, "left").withColumn("error", F.when(F.col(handler).isNull(), "unimplemented"))
+
+
+# Kinds of fields and the types that hold them; unsigned ones take the next wider.
+KINDS = {
+    "Void": "void", "Bool": "boolean", "Int8": "tinyint", "Int16": "smallint", "Int32": "int", "Int64": "bigint",
+    "UInt8": "smallint", "UInt16": "int", "UInt32": "bigint", "UInt64": "decimal(20,0)", "Float32": "float", "Float64": "double", "Text": "string", "Data": "binary", "Enum": "int",
+}
+
+
+def define_schema(spec: dict) -> T.StructType:
+    """The type of rows with the fields of a spec: name to a kind, a dict for a struct, or a list with one of these for a list.
+
+    A name that is no identifier, an unknown kind and a list of other than one kind are errors.
+    """
+
+    def kind_of(name: str, kind) -> T.DataType:
+        if isinstance(kind, dict):
+            return define_schema(kind)
+        if isinstance(kind, list):
+            if len(kind) != 1:
+                raise ValueError(f"field {name!r}: a list has one kind of elements")
+            return T.ArrayType(kind_of(name, kind[0]))
+        if kind not in KINDS:
+            raise ValueError(f"field {name!r}: unknown kind {kind!r}")
+        return T._parse_datatype_string(KINDS[kind])
+
+    if not spec:
+        raise ValueError("no fields")
+    for name in spec:
+        if not isinstance(name, str) or not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name):
+            raise ValueError(f"field name {name!r} is no identifier")
+    return T.StructType([T.StructField(name, kind_of(name, kind)) for name, kind in spec.items()])
+
+
+def manifest(spark: SparkSession, schemas: dict[str, T.StructType]) -> DataFrame:
+    """The catalogue (see facts()) of named row types: structs, and fields with type, ordinal and kind; structs within have the path of their field."""
+    rows = []
+
+    def add(path: str, kind: T.StructType, owner: str | None) -> None:
+        rows.append(("struct", path, owner, "present", None))
+        for i, f in enumerate(kind):
+            at, inner = f"{path}.{f.name}", f.dataType
+            while isinstance(inner, T.ArrayType):
+                inner = inner.elementType
+            shape = "list" if isinstance(f.dataType, T.ArrayType) else "struct" if isinstance(inner, T.StructType) else "value"
+            text = f.dataType.simpleString() if not isinstance(inner, T.StructType) else shape
+            rows.extend([("field", at, path, "present", None), ("field", at, path, "type", text), ("field", at, path, "ordinal", str(i)), ("field", at, path, "kind", shape)])
+            if isinstance(inner, T.StructType):
+                add(at, inner, at)
+
+    for name, kind in schemas.items():
+        add(name, kind, None)
+    return spark.createDataFrame(rows, "entity string, path string, owner string, fact string, value string")
+
+
+class Refused(Exception):
+    """A check does not allow a projection."""
+
+
+def validated(df: DataFrame, *checks: Callable[[DataFrame], str | None]) -> DataFrame:
+    """df if every check of its plan, before it runs, answers None; a text is why it is refused."""
+    for check in checks:
+        if why := check(df):
+            raise Refused(why)
+    return df
+
+
+def only_columns(*allowed: str) -> Callable[[DataFrame], str | None]:
+    """A check: nothing but these columns comes out."""
+    return lambda df: ", ".join(f"column {c!r} is not allowed" for c in df.columns if c not in allowed) or None

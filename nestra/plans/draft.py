@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from weakref import WeakKeyDictionary
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
@@ -63,6 +64,12 @@ class Struct:
 
     __getitem__ = __getattr__
 
+    def __contains__(self, name: str) -> bool:
+        return name in self._kind.names
+
+    def __iter__(self):
+        return iter(self._kind.names)
+
 
 @dataclass(frozen=True)
 class List:
@@ -213,12 +220,29 @@ def output(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def draft(df: DataFrame, fn: Callable) -> DataFrame:
-    """df projected by fn(row): a dict gives its columns, anything else one column `value`."""
-    answer = fn(Struct(None, df.schema))
+def recorded(fn: Callable, kind: T.StructType) -> list[Column]:
+    """The columns that fn asks of rows of a kind: a dict gives its columns, anything else one column `value`."""
+    answer = fn(Struct(None, kind))
     if isinstance(answer, dict):
-        return df.select(*[output(v).alias(k) for k, v in answer.items()])
-    return df.select(output(answer).alias("value"))
+        return [output(v).alias(k) for k, v in answer.items()]
+    return [output(answer).alias("value")]
+
+
+def draft(df: DataFrame, fn: Callable) -> DataFrame:
+    """df projected by fn(row), called once with a recorder of the row."""
+    return df.select(*recorded(fn, df.schema))
+
+
+_PLANS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def planned(df: DataFrame, fn: Callable) -> DataFrame:
+    """draft() that records a callback once for each kind of rows; what the callback captures must not change between calls."""
+    known = _PLANS.setdefault(fn, {})
+    key = df.schema.json()
+    if key not in known:
+        known[key] = recorded(fn, df.schema)
+    return df.select(*known[key])
 
 
 #: Names that one look-up may ask for.

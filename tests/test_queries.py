@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 from nestra.functions import scalars
 from nestra.operators import nested, registry
 from nestra.plans import catalog, contract
-from nestra.plans.draft import by_name, draft, pick
+from nestra.plans.draft import by_name, draft, pick, planned
 from nestra.sources import frames
 from nestra.sources.shared import numbered
 
@@ -212,3 +212,34 @@ def test_numbers_within_large_groups(spark):
         own = sorted((r.v, r.id, r.n) for r in rows if r.g == g)
         assert [r[2] for r in own] == list(range(len(own)))
     assert numbered(df.limit(0), "n", ["v"]).collect() == []
+
+
+def test_recorded_callbacks_and_names_of_fields(spark):
+    calls = []
+
+    def fn(r):
+        calls.append(list(r))
+        return {"has": F.lit("a" in r), "not": F.lit("z" in r), "a": r["a"]}
+
+    df = spark.sql("SELECT 1 a, 2 b")
+    assert [tuple(planned(x, fn).first()) for x in (df, df.where("a > 0"), spark.sql("SELECT 5 a, 2 b"))] == [(True, False, 1), (True, False, 1), (True, False, 5)]
+    planned(spark.sql("SELECT 'x' a"), fn)
+    assert calls == [["a", "b"], ["a"]]
+
+
+def test_schemas_manifests_and_checks(spark):
+    kind = catalog.define_schema({"id": "UInt64", "tags": ["Text"], "meta": {"at": "Int64", "parts": [{"n": "Float32"}]}})
+    assert kind.simpleString() == "struct<id:decimal(20,0),tags:array<string>,meta:struct<at:bigint,parts:array<struct<n:float>>>>"
+    for bad in ({}, {"a b": "Text"}, {"a": "Words"}, {"a": ["Text", "Text"]}):
+        with pytest.raises(ValueError):
+            catalog.define_schema(bad)
+    later = catalog.define_schema({"id": "UInt64", "name": "Text", "meta": {"at": "Text", "parts": [{"n": "Float32", "m": "Bool"}]}})
+    changes = catalog.diff(catalog.manifest(spark, {"S": kind}), catalog.manifest(spark, {"S": later}))
+    assert {(r.change, r.path, r.breaking) for r in changes.collect()} == {("field.removed", "S.tags", True), ("field.added", "S.name", False), ("field.typeChanged", "S.meta.at", True), ("field.added", "S.meta.parts.m", False)}
+    df = spark.sql("SELECT 1 a, 2 b")
+    assert catalog.validated(df, catalog.only_columns("a", "b")) is df
+    with pytest.raises(catalog.Refused, match="'b'"):
+        catalog.validated(df, catalog.only_columns("a"))
+    assert spark.sql("SELECT ' a ' t").select(scalars.not_blank(F.col("t"))).first()[0] == "a"
+    with pytest.raises(Exception, match="blank"):
+        spark.sql("SELECT '  ' t").select(scalars.not_blank(F.col("t"))).collect()
