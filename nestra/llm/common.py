@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_WORKSPACE: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_WORKSPACE.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A folder for the tables that are saved within; it goes at the end. Yields saved() for those that stay."""
+    own = _WORKSPACE.set(scratch(spark, "work"))
+    folder = _WORKSPACE.get()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _WORKSPACE.set(folder.rpartition("/")[0])
+        try:
+            return saved(df, name)
+        finally:
+            _WORKSPACE.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _WORKSPACE.reset(own)
+        fs, root = filesystem(folder)
+        if fs.get_file_info(root).type.name == "Directory":
+            fs.delete_dir(root)
 
 
 #: Spark's setting by which a finished query gives back its shuffle files.

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nestra.llm.common import Words, mix, saved, signed, text_bytes, text_chunks
+from nestra.llm.common import Words, mix, saved, signed, text_bytes, text_chunks, workspace
 
 N, PERCENT = 4, 85
 #: Identical segments beyond the first that a set's signatures allow for, and so many more for each ten differences.
@@ -486,7 +486,9 @@ def join_similar(docs: DataFrame, n: int = N, percent: int = PERCENT, spare: int
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with the smallest doc_id and a null one last, and all documents without words."""
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = saved(join_similar(rows.select(F.col("__row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("__row"), "component_id", (F.col("n_shingles") > 0).alias("__words")).distinct(), "rows")
+    with workspace(docs.sparkSession) as keep:
+        joined = join_similar(rows.select(F.col("__row").alias("doc_id"), "text"), n, percent)
+        found = keep(joined.select(F.col("doc_id").alias("__row"), "component_id", (F.col("n_shingles") > 0).alias("__words")).distinct(), "rows")
     named = found.join(rows.select("__row", "doc_id").distinct(), "__row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "__words")).alias("x")).select("x.__row", "x.__words")
     kept = rows.join(first, "__row").withColumn("__copy", F.when(~F.col("__words"), F.monotonically_increasing_id()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nestra.llm import ngram_join, pii, substring_dedup
-from nestra.llm.common import table
+from nestra.llm.common import filesystem, saved, scratch, table, workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -189,6 +189,28 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     assert kept == sorted([("1", a), ("1", b), ("None", c), ("None", "None"), ("None", "None"), ("3", "")])
 
 
+def test_a_workspace_goes_and_leaves_what_is_kept(spark):
+    with workspace(spark) as keep:
+        inner = scratch(spark, "x")
+        lost, kept = saved(spark.range(3), "lost"), keep(spark.range(4), "kept")
+        with workspace(spark) as keep_within:
+            deeper = keep_within(spark.range(5), "deeper")
+        assert lost.count() == 3 and deeper.count() == 5
+    assert kept.count() == 4
+    fs, root = filesystem(inner.rpartition("/")[0])
+    assert fs.get_file_info(root).type.name == "NotFound" and "/work-" not in scratch(spark, "y")
+    with workspace(spark):
+        pass
+
+
+def test_very_long_texts_link(spark):
+    words = [f"w{i * i % 99991}" for i in range(60_000)]
+    texts = [" ".join(words), " ".join([*words[:-900], *[f"x{i}" for i in range(900)]]), " ".join(words[: 60_000 * 8 // 10]), "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join_similar(df).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 4, 85).items()} and got[1] == 0
+
+
 def test_link_counts_are_named_for_what_they_count(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "doc_id long, text string")
     assert ngram_join.join_similar(df).columns == ["doc_id", "n_shingles", "component_id", "n_spanning_links"]
