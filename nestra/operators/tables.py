@@ -73,7 +73,7 @@ def dominant_first_seen(spark, d):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(floor(count(*) * 0.5) AS INT) + 1] AS median, list_sort(list(value))[CAST(floor(count(*) * 0.9) AS INT) + 1] AS p90 FROM events GROUP BY event_type")
 def index_percentiles(spark, d):
-    ranked = numbered(table(spark, d, "events").select("event_type", "value"), "at", ["value"], ["event_type"])
+    ranked = numbered(table(spark, d, "events").select("event_type", "value", "event_id"), "at", ["value"], ["event_type"])
     sizes = ranked.groupBy("event_type").agg(F.count("*").alias("n"))
     placed = ranked.join(sizes, "event_type").where((F.col("at") == F.floor(F.col("n") * 0.5)) | (F.col("at") == F.floor(F.col("n") * 0.9)))
     at = lambda q: F.max(F.when(F.col("at") == F.floor(F.col("n") * q), F.col("value")))

@@ -45,15 +45,17 @@ def numbered(df: DataFrame, name: str, order: list[str], groups: list[str] | Non
     """df with `name`, each row's number from 0 in the order of the columns, within groups if any are named.
 
     Rows are ranged and numbered in their range, and ranges are counted before
-    them, so that no task holds a large group. Ties are numbered in any order.
+    them, so that no task holds a large group. Ties stand by a hash of the whole
+    row, so that many of them are in several ranges; equal rows are in one.
     """
     groups = groups or []
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = saved(df.repartitionByRange(n, *groups, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    tied = df.withColumn("__tie", F.xxhash64(*df.columns))
+    ranged = saved(tied.repartitionByRange(n, *groups, *order, "__tie").withColumn("__part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("__part", *groups).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range at most
     starts = counts.select("__part", *[F.col(g).alias(f"__{g}") for g in groups], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__part", *groups).orderBy(*order))
+    inner = F.row_number().over(Window.partitionBy("__part", *groups).orderBy(*order, "__tie"))
     same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups], F.col("p.__part") == F.col("s.__part"))
     joined = ranged.withColumn("__rn", inner).alias("p").join(starts.alias("s"), same)
     return joined.select(*[F.col(f"p.`{c}`") for c in df.columns], (F.col("__before") + F.col("__rn") - 1).alias(name))
