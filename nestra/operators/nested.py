@@ -76,8 +76,9 @@ def draft_list_map(spark, d):
     "SELECT o_custkey AS custkey, o_orderkey AS orderkey, l_linenumber AS line, l_quantity AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 )
 def draft_nested_list(spark, d):
-    orders = orders_nested(spark, d)
-    customers = orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "items")).alias("orders"))
+    # A customer's orders stand in up to 16 rows, so that no row holds all of a large customer.
+    orders = orders_nested(spark, d).withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(16)))
+    customers = orders.groupBy("o_custkey", "part").agg(F.collect_list(F.struct("o_orderkey", "items")).alias("orders"))
     made = draft(customers, lambda c: {"custkey": c.o_custkey, "x": c.orders.map(lambda o: {"orderkey": o.o_orderkey, "y": o["items"].map(lambda i: {"line": i.l_linenumber, "qty": i.l_quantity})})})
     return made.select("custkey", F.explode("x").alias("x")).select("custkey", "x.orderkey", F.explode("x.y").alias("y")).select("custkey", "orderkey", "y.line", "y.qty")
 
