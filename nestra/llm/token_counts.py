@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +65,18 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
 def blocks_of(spark: SparkSession, folder: str, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, block, at, ids): the blocks of all token files in a folder; `at` and `ids` count ids, not bytes."""
-    from pyarrow.fs import FileSelector
-
     width = np.dtype(dtype).itemsize
-    fs, root = filesystem(folder)
-    found = [(f.base_name, f.size) for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.is_file and not f.base_name.startswith(("_", "."))]
-    if odd := [name for name, size in found if size % width]:
-        raise ValueError(f"not whole ids: {odd[:3]}")
+    try:
+        found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # no task wrote a file
+            raise
+        found = spark.createDataFrame([], "file string, length long")
     step = block_bytes // width
-    files = spark.createDataFrame([(n, s // width) for n, s in found if s], "file string, size long")
-    blocks = files.select("file", "size", F.posexplode(F.expr(f"sequence(0L, size - 1, {step}L)")).alias("block", "at"))
-    return blocks.select("file", F.col("block").cast("long").alias("block"), "at", F.least(F.lit(step), F.col("size") - F.col("at")).alias("ids"))
+    odd = F.raise_error(F.concat(F.lit("not whole ids: "), "file")).cast("long")
+    files = found.where("length > 0").select("file", F.when(F.col("length") % width == 0, F.expr(f"length div {width}")).otherwise(odd).alias("size"))
+    blocks = files.select("file", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))).alias("block", "at"))
+    return blocks.select("file", F.col("block").cast("long").alias("block"), "at", F.least(F.lit(step), F.col("size") - F.col("at")).cast("long").alias("ids"))
 
 
 def scan_blocks(blocks: DataFrame, folder: str, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:

@@ -119,6 +119,11 @@ def test_stitching_across_small_blocks(spark):
     blocks = token_counts.blocks_of(spark, folder, block_bytes=64)
     got = token_counts.document_lengths(token_counts.scan_blocks(blocks, folder, end_id=0), run_blocks=7)
     assert {(r.file, r.ordinal): r.n_tokens for r in got.collect()} == expected
+    with fs.open_output_stream(f"{root}/odd") as f:
+        f.write(b"abc")
+    with pytest.raises(Exception, match="not whole ids"):
+        token_counts.blocks_of(spark, folder).collect()
+    assert token_counts.blocks_of(spark, scratch(spark, "nothing")).collect() == []
 
 
 @pytest.mark.parametrize("size", [576, 160, 161, 162, 163, 175, 176, 345, 346, 5760, 5760 * 3, 5760 * 8, 5760 * 20 + 576, 7, 1])
