@@ -16,8 +16,9 @@ signatures whose sets are in one component are done. Others get further centres.
 At last, a linked pair that is still missing shares more open signatures than
 either set has to spare. So each set leaves out as many as it has to spare, the
 commonest ones by an order that all sets share; the pair still meets in the
-rarest that it has in common. Signatures with the same sets meet as one. Where
-many sets still meet, as in a family of texts with some edits each, they are held
+rarest that it has in common. Signatures with the same sets meet as one. What is
+counted by signature is saved before it is joined back, so that joins are of plain
+tables and Spark splits common signatures between tasks. Where many sets still meet, as in a family of texts with some edits each, they are held
 against one of them: a linked pair has many of its differences from that centre
 in common, so it meets in one of the rarest of them, and sets with edits of
 their own do not meet at all (`_around`). Pairs of fitting sizes are verified,
@@ -318,7 +319,7 @@ def _open(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """(sig, node, slack, scheme, component) of the signatures whose nodes are not all in one component."""
     known = candidates.join(labels, "node", "left").select("sig", "node", "slack", "scheme", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    return saved(known.join(mixed, "sig"), "open")
+    return saved(known.join(saved(mixed, "mixed"), "sig"), "open")
 
 
 def _centred(rows: DataFrame) -> DataFrame:
@@ -363,7 +364,7 @@ def _homes(crowd: DataFrame) -> DataFrame:
     signatures have, and each signature the one that most of its sets have, so that nearly all of a family agree on one.
     """
     weight = crowd.groupBy("node").agg(F.count("*").alias("weight"))
-    centre = crowd.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("centre"))
+    centre = saved(crowd.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("centre")), "centres")
     for _ in range(2):
         home = crowd.join(centre, "sig").groupBy("node").agg(F.mode("centre", True).alias("centre"))
         centre = saved(crowd.join(home, "node").groupBy("sig").agg(F.mode("centre", True).alias("centre")), "centres")
@@ -420,7 +421,7 @@ def _around(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 def _rest(left: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) that may be linked and are not in one component, from the open signatures; or links that join those."""
     rows = saved(_rare(left.select("sig", "node", "slack", "scheme")), "rare")
-    many = rows.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("sig")
+    many = saved(rows.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).select("sig"), "many")
     near, far = _around(saved(rows.join(many, "sig"), "crowd"), labels, sets, percent)
     sizes = sets.select("node", (F.length("grams") / 8).cast("long").alias("size"))
     rows = rows.join(many, "sig", "left_anti").join(sizes, "node").join(labels, "node", "left").select("sig", "node", "size", F.coalesce("component", "node").alias("component"))
@@ -433,9 +434,9 @@ def _rest(left: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
 
 def _centres(left: DataFrame) -> DataFrame:
     """(a, b): nodes of the open signatures, each with a node of another component that shares more with others than most."""
-    crowd = left.groupBy("sig").agg(F.count("*").alias("n"))
+    crowd = saved(left.groupBy("sig").agg(F.count("*").alias("n")), "crowds")
     weight = left.join(crowd, "sig").groupBy("node").agg(F.sum(F.log2("n")).alias("weight"))
-    centre = left.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node", "component")).alias("x")).select("sig", F.col("x.node").alias("centre"), F.col("x.component").alias("its"))
+    centre = saved(left.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node", "component")).alias("x")).select("sig", F.col("x.node").alias("centre"), F.col("x.component").alias("its")), "centres")
     return _centred(left.join(centre, "sig").where(F.col("component") != F.col("its")))
 
 
@@ -444,7 +445,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = P
     schemes = Schemes(percent, spare)
     candidates = saved(shared_signatures(docs, schemes, n), "candidates")
     shared = candidates.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("top")).where("centre < top").select("sig", "centre")
-    pairs = _centred(candidates.join(shared, "sig"))
+    pairs = _centred(candidates.join(saved(shared, "shared"), "sig"))
     named = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("node", "x.*")
     wanted = named.join(candidates.select("node").distinct(), "node", "left_semi")
     sets = saved(whole_sets(docs, wanted, n), "sets")
