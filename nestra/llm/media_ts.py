@@ -143,8 +143,7 @@ class Demuxed:
     damaged: int = 0
 
 
-def _section(payload: np.ndarray, table_id: int) -> bytes:
-    raw = payload.tobytes()
+def _section(raw: bytes, table_id: int) -> bytes:
     at = 1 + raw[0]
     length = (raw[at + 1] & 15) << 8 | raw[at + 2] if at + 2 < len(raw) else 0
     section = raw[at : at + 3 + length]
@@ -155,7 +154,7 @@ def _section(payload: np.ndarray, table_id: int) -> bytes:
 
 def _tables(packets: np.ndarray, table_id: int) -> bytes:
     """The body of a table that comes again and again; every copy is checked."""
-    bodies = {_section(p, table_id) for p in np.unique(packets[:, 4:], axis=0)}
+    bodies = {_section(p, table_id) for p in {row.tobytes() for row in packets[:, 4:]}}
     if len(bodies) != 1:
         raise ValueError("the program changes")
     return bodies.pop()
@@ -190,7 +189,8 @@ def demux(media: bytes) -> Demuxed:
     begin = np.where(own[:, 3] >> 4 & 2 != 0, 5 + own[:, 4].astype(np.int64), 4)
     for i in np.flatnonzero(again):
         again[i] = begin[i] == begin[i - 1] and (own[i, begin[i] :] == own[i - 1, begin[i] :]).all()
-    own = own[~again]
+    if again.any():
+        own = own[~again]
     control = own[:, 3] >> 4 & 3
     counters = own[:, 3] & 15
     with_payload = control & 1 == 1
