@@ -80,6 +80,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Has the driver collect what finished queries left, before its heap grows for that; their broadcasts go on executors too."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder URI or plain path."""
     from pyarrow import fs

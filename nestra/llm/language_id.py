@@ -36,6 +36,8 @@ from nestra.llm.common import text_bytes, text_chunks
 ORDER = 3
 #: Bytes of labelled texts counted for each language, as an expected number.
 SAMPLE_BYTES = 800_000
+#: Contexts whose code lengths are worked out in one step.
+BLOCK = 256
 #: Bits that score lets count for each bit of code length, as neighbouring bytes are not independent.
 TEMPER = 0.1
 
@@ -81,7 +83,7 @@ def labelled_sample(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFr
     return chosen.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("__share") * (1 << 20)).select("lang", "text")
 
 
-def gram_counts(sample: DataFrame) -> list[tuple[str, int, int]]:
+def gram_counts(sample: DataFrame) -> pa.Table:
     """(language, place and bytes as a number, count), summed in Spark: the byte and three before it, and how many of these lie before the text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +103,17 @@ def gram_counts(sample: DataFrame) -> list[tuple[str, int, int]]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     rows = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return [(r.lang, r.gram, r.n) for r in rows.collect()]
+    return rows.toArrow()
 
 
 def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The frozen trees, from (doc_id, lang, text)."""
     counted = gram_counts(labelled_sample(docs, sample_bytes))
-    languages = tuple(sorted({c[0] for c in counted}))
-    lang = np.array([languages.index(c[0]) for c in counted], np.int64)
-    gram = np.array([c[1] for c in counted], np.int64)
-    n = np.array([c[2] for c in counted], np.float64)
+    names = counted["lang"].combine_chunks().dictionary_encode()
+    languages = tuple(sorted(names.dictionary.to_pylist()))
+    lang = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    gram = counted["gram"].to_numpy()
+    n = counted["n"].to_numpy().astype(np.float64)
     symbol = np.zeros(256, np.int32)
     here = np.unique(gram & 255)
     symbol[here] = np.arange(1, len(here) + 1)
@@ -127,33 +130,42 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
 
     known = [np.unique(c) for c in contexts]  # every context of the sample, by order
     row_of: list[dict] = [dict() for _ in known]
-    probability = np.zeros((sum(map(len, known)), size, len(languages)))
+    probability = np.zeros((sum(map(len, known[:-1])), size, len(languages)))  # of contexts that others fall back to
+    bits = np.zeros((sum(map(len, known)), size, len(languages)), np.float32)
     start = 0
     for order, ids in enumerate(known):
-        table = np.zeros((len(ids), size, len(languages)))
-        np.add.at(table, (np.searchsorted(ids, contexts[order]), s0, lang), n)
-        if order == 0:
-            shorter = np.full((1, size, len(languages)), 1 / 256)
-            shorter[:, 0] = lacking / 256
-        else:
-            shorter = probability[[_longest(row_of, int(i) % (size + 1) ** (order - 1), order - 1, size) for i in ids]]
-        seen = table > 0
-        total, distinct = table.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        rest = np.where(seen, 0, shorter).sum(1, keepdims=True)
-        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        mixed = np.where(seen, table / np.maximum(total + distinct, 1), escape * shorter / np.maximum(rest, 1e-300))
-        probability[start : start + len(ids)] = mixed
+        place = np.searchsorted(ids, contexts[order])
+        by_place = np.argsort(place, kind="stable")
+        for low in range(0, len(ids), BLOCK):
+            own = ids[low : low + BLOCK]
+            at = by_place[slice(*np.searchsorted(place, (low, low + len(own)), sorter=by_place))]
+            table = np.zeros((len(own), size, len(languages)))
+            np.add.at(table, (place[at] - low, s0[at], lang[at]), n[at])
+            if order == 0:
+                shorter = np.full((1, size, len(languages)), 1 / 256)
+                shorter[:, 0] = lacking / 256
+            else:
+                shorter = probability[[_longest(row_of, int(i) % (size + 1) ** (order - 1), order - 1, size) for i in own]]
+            seen = table > 0
+            total, distinct = table.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+            rest = np.where(seen, 0, shorter).sum(1, keepdims=True)
+            escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
+            mixed = np.where(seen, table / np.maximum(total + distinct, 1), escape * shorter / np.maximum(rest, 1e-300))
+            rows = slice(start + low, start + low + len(own))
+            if order < ORDER:
+                probability[rows] = mixed
+            mixed = -np.log2(np.maximum(mixed, 1e-300))
+            mixed[:, 0] += np.log2(max(1, lacking))  # one of those that share the column
+            bits[rows] = mixed
         row_of[order].update({int(i): start + k for k, i in enumerate(ids)})
         start += len(ids)
-    bits = -np.log2(np.maximum(probability, 1e-300))
-    bits[:, 0] += np.log2(max(1, lacking))  # one of those that share the column
 
     context = np.zeros((size + 1) ** ORDER, np.int32)
     for order, ids in enumerate(known):
         step = (size + 1) ** order
         for i, row in row_of[order].items():
             context[i::step] = row
-    return Model(languages, symbol, size, context, bits.astype(np.float32))
+    return Model(languages, symbol, size, context, bits)
 
 
 def _longest(row_of: list[dict], context: int, order: int, size: int) -> int:

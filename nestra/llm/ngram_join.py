@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nestra.llm.common import Words, mix, saved, signed, text_bytes, text_chunks, workspace
+from nestra.llm.common import Words, mix, saved, signed, text_bytes, text_chunks, tidied, workspace
 
 N, PERCENT = 4, 85
 #: Identical segments beyond the first that a set's signatures allow for, and so many more for each ten differences.
@@ -311,6 +311,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = label.select(F.col("node").alias("next"), F.col("component").alias("far"))
         new = saved(lower.join(jump, "next").select("node", F.least("next", "far").alias("component"), "was"), "labels")
         label = new.select("node", "component")
+        tidied(links.sparkSession)
         if new.where(F.col("component") != F.col("was")).isEmpty():
             return label
 
@@ -453,6 +454,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = P
     labels = components(links)
     for number in range(rounds):
         left = _open(candidates, labels)
+        tidied(docs.sparkSession)
         if left.isEmpty():
             return labels, links
         if number + 1 < rounds:
@@ -460,6 +462,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, n: int = N, percent: int = P
         else:
             pairs = _rest(left, labels, sets, percent)
         more = saved(verified(pairs, sets, percent), "verified")
+        tidied(docs.sparkSession)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)

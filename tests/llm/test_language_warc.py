@@ -1,5 +1,6 @@
 import hashlib
 import math
+import tracemalloc
 import zlib
 from functools import lru_cache
 
@@ -37,6 +38,17 @@ def brute_bits(texts, text):
     return sum(-math.log2(p(tuple(raw[i - 3 : i]), raw[i])) for i in range(3, len(raw)))
 
 
+def test_the_trees_take_little_more_memory_than_the_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tracemalloc.start()
+    try:
+        model = language_id.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5 * (model.bits.nbytes + model.context.nbytes)
+
+
 def test_code_lengths_are_exact(spark):
     rows = [(i, lang, text) for i, (lang, text) in enumerate([("a", "abcab cab abba"), ("b", "zyx zzy xyz é"), ("a", "abab"), ("b", "yy"), ("a", "cacao"), ("b", "zyzzyx"), ("b", "")] * 4)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
