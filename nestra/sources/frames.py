@@ -13,11 +13,15 @@ from __future__ import annotations
 import base64
 import gzip
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import arrow_udf, pandas_udf, udtf
 
 # Kinds of messages that a client does not send on, and where in a frame its kind stands.
 FINISH, RELEASE = 4, 6
@@ -151,12 +155,44 @@ def to_typed_json(kind: Column, value: Column) -> Column:
     )
 
 
-def _embedded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode())
+def _embedded(text: str) -> str:
+    return base64.b64encode(gzip.compress(text.encode(), mtime=0)).decode()
 
 
-def _extracted(packed: pd.Series) -> pd.Series:
-    return packed.map(lambda t: None if t is None else gzip.decompress(base64.b64decode(t)).decode())
+def _extracted(packed: str) -> str:
+    return gzip.decompress(base64.b64decode(packed)).decode()
+
+
+#: Bytes of texts that one step of `through` holds beside their batch; a longer text is a step of its own.
+STEP_BYTES = 1 << 19
+
+
+def _pieces(array: pa.Array) -> Iterator[pa.Array]:
+    """An array of texts cut between them into steps."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(array):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+        yield array.slice(start, end - start)
+        start = end
+
+
+def through(column: Column | str, *steps: Callable[[str], str]) -> Column:
+    """A text after these steps, one after another; only a bounded part of a batch is in Python's hands at a time."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                out = []
+                for text in piece:
+                    text = text.as_py()
+                    for step in steps:
+                        text = None if text is None else step(text)
+                    out.append(text)
+                yield pa.array(out, pa.string())
+
+    return arrow_udf(run, "string")(column)
 
 
 class _Chunks:
@@ -184,9 +220,14 @@ def typed_json(column: Column | str) -> Column:
 
 def embedded(column: Column | str) -> Column:
     """A text as gzip in base64, the same for the same text."""
-    return pandas_udf(_embedded, "string")(column)
+    return through(column, _embedded)
 
 
 def extracted(column: Column | str) -> Column:
     """The text of embedded()."""
-    return pandas_udf(_extracted, "string")(column)
+    return through(column, _extracted)
+
+
+def regained(column: Column | str) -> Column:
+    """extracted() of embedded(), in one pass."""
+    return through(column, _embedded, _extracted)

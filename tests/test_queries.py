@@ -66,6 +66,15 @@ def test_list_preview_equals_its_sql_at_edges(spark, tmp_path):
     equals_its_sql_on_embeddings(spark, edge_embeddings(tmp_path), "list_preview")
 
 
+def test_texts_are_packed_in_bounded_pieces(spark):
+    assert [len(x) for x in frames._pieces(pa.array(["a" * 300_000, None, "b" * 300_000, "c" * 900_000, "", "d"]))] == [2, 1, 1, 2]
+    assert [x.to_pylist() for x in frames._pieces(pa.array(["z", "é", None]).slice(1))] == [["é", None]]
+    texts = ["é" * 400_000, None, "", *(str(i) for i in range(50))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    rows = df.select("i", frames.regained("text").alias("a"), frames.extracted(frames.embedded("text")).alias("b")).orderBy("i").collect()
+    assert [r.a for r in rows] == texts == [r.b for r in rows]
+
+
 def test_lists_read_only_what_callbacks_touch(spark, sf_dir, tmp_path):
     path = str(tmp_path / "nested")
     nested.orders_nested(spark, sf_dir).write.parquet(path)
