@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T
 from pyspark.sql import functions as F
 
 from nestra.sources.shared import saved
@@ -75,21 +75,31 @@ def _code(entity: Column, fact: Column, gone: Column, come: Column) -> Column:
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(change, path, breaking, before, after) of two tables of facts."""
-    single = lambda df, name: df.groupBy("entity", "path", "fact").agg(F.max("owner").alias(f"{name}_owner"), F.max("value").alias(name), F.lit(True).alias(f"in_{name}"))
-    both = saved(single(old, "before").join(single(new, "after"), ["entity", "path", "fact"], "full_outer").where(~(F.col("in_before") & F.col("in_after") & F.col("before").eqNullSafe(F.col("after"))) | F.col("in_before").isNull() | F.col("in_after").isNull()), "facts")
+    sides = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+    # Null keys are equal to no others, so they stay on their side.
+    keyed = sides.withColumn("__place", F.xxhash64("path")).withColumn("__side", F.when(F.col("entity").isNull() | F.col("path").isNull() | F.col("fact").isNull(), F.col("__new")))
+    of = lambda new, value: F.max(F.when(F.col("__new") == F.lit(new), value))
+    # Dealt by path and grouped where they are, all facts are shuffled once and sorted once, by a hash first.
+    both = keyed.repartition("__place").groupBy("__place", "path", "entity", "fact", "__side").agg(
+        of(False, F.col("owner")).alias("before_owner"), of(True, F.col("owner")).alias("after_owner"), of(False, F.col("value")).alias("before"), of(True, F.col("value")).alias("after"),
+        of(False, F.lit(True)).alias("in_before"), of(True, F.lit(True)).alias("in_after"),
+    )
+    both = both.where(F.col("in_before").isNull() | F.col("in_after").isNull() | ~F.col("before").eqNullSafe(F.col("after")))
     here = F.col("fact") == "present"
     gone, come = here & F.col("in_after").isNull(), here & F.col("in_before").isNull()
-    one_sided = saved(both.where(gone | come).select("entity", F.col("path").alias("thing"), F.coalesce("before_owner", "after_owner").alias("in_thing")), "one-sided")
-    missing = one_sided.select(F.col("thing").alias("lost")).distinct()
-    # What is in a thing that is itself gone or new, or is a fact of such a thing, is told by that thing.
-    told = both.withColumn("holder", F.when(here, F.coalesce("before_owner", "after_owner")).otherwise(F.col("path")))
-    own = told.join(missing, told.holder == missing.lost, "left_anti")
     severe = F.when(gone, True)
     severe = severe.when(come, F.col("entity").isin(*ADDED_REQUIRED) & F.coalesce(F.col("after") == "true", F.lit(False)))
     for fact, value in LESS_STRICT.items():
         severe = severe.when(F.col("fact") == fact, F.coalesce(F.col("after"), F.lit("false")) != value)
-    changes = own.select(_code(F.col("entity"), F.col("fact"), gone, come).alias("change"), "path", severe.otherwise(True).alias("breaking"), "before", "after")
-    return changes.where(F.col("change").isNotNull())
+    # What is in a thing that is itself gone or new, or is a fact of such a thing, is told by that thing.
+    lost = F.coalesce(F.max(gone | come).over(Window.partitionBy("__place", "path")), F.lit(False)) & F.col("path").isNotNull()
+    told = both.select("*", lost.alias("lost"), (gone | come).alias("one_sided")).where(here | ~F.col("lost"))
+    coded = told.select(_code(F.col("entity"), F.col("fact"), gone, come).alias("change"), "path", severe.otherwise(True).alias("breaking"), "before", "after", "one_sided", F.when(here, F.coalesce("before_owner", "after_owner")).alias("holder"))
+    changes = saved(coded.where(F.col("change").isNotNull() | F.col("one_sided")), "facts")
+    out = ["change", "path", "breaking", "before", "after"]
+    missing = changes.where("one_sided").select(F.col("path").alias("thing")).distinct()
+    held = changes.where(F.col("holder").isNotNull()).join(missing, F.col("holder") == F.col("thing"), "left_anti")
+    return changes.where(F.col("holder").isNull()).select(*out).unionByName(held.select(*out)).where(F.col("change").isNotNull())
 
 
 def operations(methods: DataFrame, owner: str) -> DataFrame:

@@ -154,6 +154,20 @@ def test_names_look_up_the_first(spark):
         by_name(F.col("p"), *map(str, range(257)))
 
 
+def test_the_diff_shuffles_and_sorts_its_facts_once(spark, sf_dir, monkeypatch):
+    plans = []
+
+    def keep(df, name):
+        if name == "facts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(catalog, "saved", keep)
+    facts = [spark.createDataFrame([("field", "a.b", "a", "type", "int"), ("field", None, None, "type", "int")], "entity string, path string, owner string, fact string, value string") for _ in range(2)]
+    assert catalog.diff(*facts).where("path is not null").collect() == []
+    assert plans[0].count("Exchange hashpartitioning") == 1 and plans[0].count("Sort [") == 1
+
+
 def test_every_rule_of_the_diff(spark):
     thing = "entity string, path string, owner string, fact string, value string"
     old, new, expected = [], [], set()
