@@ -11,6 +11,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step handles; a longer text is a step of its own.
@@ -68,7 +69,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and any executor can read it.
 
-    Its shuffle files are given back at once, as nothing reads them again.
+    Its shuffle files are given back at once, as nothing reads them again, and what the driver freed for it.
     """
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
@@ -77,12 +78,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    trimmed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tidied(spark: SparkSession) -> None:
     """Has the driver collect what finished queries left, before its heap grows for that; their broadcasts go on executors too."""
     spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> None:
+    """Has the driver's JVM give back memory that it freed outside of its heap, as its compiler does with each new plan.
+
+    The C library keeps such memory for each of some hundred threads. A JVM without the command (before 17.0.9, or not on Linux) keeps it.
+    """
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = array(jvm.Class, 4), array(jvm.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.Class.forName(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # By the interface's method, as the server's own class is not open to others.
+    invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError as error:
+        if "javax.management.ReflectionException" not in str(error) and "InstanceNotFoundException" not in str(error):
+            raise
 
 
 def filesystem(uri: str):
